@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import OP8_SQL, op8_mixing
+from .packing import op1_packing
 
-QUERIES = {"op8_mixing": op8_mixing}
+QUERIES = {"op1_packing": op1_packing, "op8_mixing": op8_mixing}
 SQL = {"op8_mixing": OP8_SQL}
