@@ -6,7 +6,8 @@ from .language import op5_language
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op1_packing
 from .quality import op7_quality
+from .similarity import OP2_SQL, op2_similarity
 from .toxicity import op4_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_packing, op4_toxicity, op5_language, op7_quality, op8_mixing)}
-SQL = {"op8_mixing": OP8_SQL}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op4_toxicity, op5_language, op7_quality, op8_mixing)}
+SQL = {"op2_similarity": OP2_SQL, "op8_mixing": OP8_SQL}
