@@ -16,14 +16,12 @@ blocks go on for one more round only as witnesses, one for each distinct string,
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, pieces, powers, prefix_hash, shared_dir, span_hash, store, table
+from .common import bucketed, byte_view, mix, pieces, powers, prefix_hash, span_hash, store, table
 from .sketch import BITS, present, spread
 
 LENGTH, GRAM = 200, 64
@@ -101,10 +99,9 @@ def _candidates(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return store(_repeated(rows).groupBy("d").agg(F.collect_set("rank").alias("ranks")), "anchors")
 
 
-def _kept_texts(texts: DataFrame, wanted: DataFrame) -> str:
-    """The texts that may be in ``wanted``, as a table bucketed by their names, so that no later round moves them."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(present(wanted, "d"))
+def _kept_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that may be in ``wanted``, dealt out by their names."""
+    held = texts.sparkSession.sparkContext.broadcast(present(wanted, "d"))
 
     def run(batches):
         for b in _fresh(batches, 8 << 20):
@@ -113,9 +110,8 @@ def _kept_texts(texts: DataFrame, wanted: DataFrame) -> str:
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeat_texts_{uuid.uuid4().hex}"
-    texts.mapInArrow(run, "d long, text string").repartition(n, "d").write.bucketBy(n, "d").format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return name
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(run, "d long, text string").repartition(n, "d")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +181,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
 
     Texts that occur in several rows are looked at once; they repeat as a whole, which the caller sees from the rows. Null text is empty.
     """
-    spark, texts = docs.sparkSession, _texts(docs, text_col)
+    texts = _texts(docs, text_col)
     todo = _candidates(texts, length, gram)
-    name = _kept_texts(texts, todo)
-    held, settled = spark.table(name), []
-    for i, block in enumerate(BLOCKS):
-        done, todo = _settle(_ranked(held, todo, block, length, gram, i == 0), block == 1)
-        settled.append(done.select("d", "place", "low", "high"))
+    with bucketed(_kept_texts(texts, todo), "d", "repeat_texts") as held:
+        settled = []
+        for i, block in enumerate(BLOCKS):
+            done, todo = _settle(_ranked(held, todo, block, length, gram, i == 0), block == 1)
+            settled.append(done.select("d", "place", "low", "high"))
+        return _removed(held, settled, length)
+
+
+def _removed(held: DataFrame, settled: list[DataFrame], length: int) -> DataFrame:
     spans = settled[0]
     for s in settled[1:]:
         spans = spans.unionByName(s)
@@ -215,9 +215,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
             yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["d", "spans", "kept"])
 
     rows = held.join(spans, "d").select("d", "text", "x.start", "x.end")
-    out = store(rows.mapInArrow(run, "d long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["d"]), "repeats")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return store(rows.mapInArrow(run, "d long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["d"]), "repeats")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lean: bool = False) -> DataFrame:
