@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .language import op5_language
 from .mixing import OP8_SQL, op8_mixing
+from .neighbours import op6_neighbours
 from .packing import op1_packing
 from .quality import op7_quality
 from .repeats import op3_repeats
 from .similarity import OP2_SQL, op2_similarity
 from .toxicity import op4_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op3_repeats, op4_toxicity, op5_language, op7_quality, op8_mixing)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op3_repeats, op4_toxicity, op5_language, op6_neighbours, op7_quality, op8_mixing)}
 SQL = {"op2_similarity": OP2_SQL, "op8_mixing": OP8_SQL}
