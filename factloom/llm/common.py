@@ -134,3 +134,33 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[
     starts, ends, row = words(data, off)
     h = span_hash(prefix_hash(data, BYTE_LOWER if lower else BYTE), starts, ends) if len(starts) else np.zeros(0, np.uint64)
     return h, row, np.searchsorted(row, np.arange(len(off)))
+
+
+class KeyTable:
+    """Open hashing of 64-bit keys; find() gives the row of each key, or -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, size: int = 0):
+        size = size or 1 << max(4, int(np.ceil(np.log2(2.5 * max(1, len(keys))))))
+        self.keys, self.values, self.shift = keys, values, np.uint64(64 - int(size).bit_length() + 1)
+        self.slots = np.full(size, -1, np.int32)
+        self.held = np.zeros(size, np.uint64)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free][::-1]] = left[free][::-1]
+            self.held[at[free][::-1]] = keys[left[free][::-1]]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) % size
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        got, held = self.slots[at], self.held[at]
+        open_ = np.flatnonzero((got >= 0) & (held != keys))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slots)
+            got[open_] = self.slots[at[open_]]
+            open_ = open_[(got[open_] >= 0) & (self.held[at[open_]] != keys[open_])]
+        return got

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, pieces, table
+from .common import KeyTable, byte_view, pieces, table
 
 #: Longest context in bytes.
 ORDER = 4
@@ -81,8 +81,8 @@ class Trees:
             escape.append(esc)
             lower_keys, lower_cost = strings, c
         self.size = 1 << max(12, int(np.ceil(np.log2(4 * max(1, sum(map(len, keys)))))))
-        self.strings = _Table(np.concatenate(keys), np.concatenate(cost).astype(np.float32), self.size)
-        self.contexts = _Table(np.concatenate(ctx_keys), np.concatenate(escape).astype(np.float32), self.size)
+        self.strings = KeyTable(np.concatenate(keys), np.concatenate(cost).astype(np.float32), self.size)
+        self.contexts = KeyTable(np.concatenate(ctx_keys), np.concatenate(escape).astype(np.float32), self.size)
 
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language."""
@@ -110,35 +110,6 @@ class Trees:
         return sums[off[1:]] - sums[off[:-1]]
 
 
-class _Table:
-    """Open hashing of 64-bit keys; find() gives the row of each key, or -1."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, size: int):
-        self.keys, self.values, self.shift = keys, values, np.uint64(64 - int(size).bit_length() + 1)
-        self.slots = np.full(size, -1, np.int32)
-        self.held = np.zeros(size, np.uint64)
-        left, at = np.arange(len(keys)), self._home(keys)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free][::-1]] = left[free][::-1]
-            self.held[at[free][::-1]] = keys[left[free][::-1]]
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) % size
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self._home(keys)
-        got, held = self.slots[at], self.held[at]
-        open_ = np.flatnonzero((got >= 0) & (held != keys))
-        while len(open_):
-            at[open_] = (at[open_] + 1) % len(self.slots)
-            got[open_] = self.slots[at[open_]]
-            open_ = open_[(got[open_] >= 0) & (self.held[at[open_]] != keys[open_])]
-        return got
-
-
 def grow(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, max_langs: int = 64) -> Trees:
     """Trees from the first documents of each language in a fixed pseudo-random order; docs: doc_id, text, lang. Languages beyond the
     ``max_langs`` most frequent are not learned; documents of more than ``sample_bytes`` are not drawn."""

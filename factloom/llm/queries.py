@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language import op5_language
+from .maxent import op9_maxent
 from .mixing import OP8_SQL, op8_mixing
 from .neighbours import op6_neighbours
 from .packing import op1_packing
@@ -11,5 +12,5 @@ from .repeats import op3_repeats
 from .similarity import OP2_SQL, op2_similarity
 from .toxicity import op4_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op3_repeats, op4_toxicity, op5_language, op6_neighbours, op7_quality, op8_mixing)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op3_repeats, op4_toxicity, op5_language, op6_neighbours, op7_quality, op8_mixing, op9_maxent)}
 SQL = {"op2_similarity": OP2_SQL, "op8_mixing": OP8_SQL}
