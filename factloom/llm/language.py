@@ -54,7 +54,7 @@ class Trees:
         keys, cost, ctx_keys, escape = [], [], [], []
         lower_keys, lower_cost = np.zeros(0, np.uint64), np.zeros((0, L))
         for n in range(1, order + 2):
-            strings = np.unique(np.concatenate([c[n][0] for c in counts]))
+            strings = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[n][0] for c in counts)]))
             body = (strings & ~(np.uint64(0xFF) << np.uint64(56))) >> np.uint64(8) | np.uint64(n - 1) << np.uint64(56)
             contexts = np.unique(body)
             ctx_of = np.searchsorted(contexts, body)
