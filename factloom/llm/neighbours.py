@@ -113,7 +113,8 @@ class Graph:
         o = np.argsort(-s, axis=1)
         ids[:, :k], score[:, :k] = np.take_along_axis(near[:, :k], o, 1), np.take_along_axis(s, o, 1)
         closed[:, :k] = ~np.isfinite(score[:, :k])
-        seen[rows[:, None], np.maximum(near[:, :k], 0)] = True
+        r, c = np.nonzero(near[:, :k] >= 0)
+        seen[r, near[r, c]] = True
         live = rows
         while len(live):
             at = np.argmin(closed[live], axis=1)
