@@ -46,17 +46,16 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = S
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, slopes: tuple = SLOPES, share: float = SHARE, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with its share of the mix and its place in training, range-sorted by position.
+    """Every document with its share of the mix and its place in training; in_order() range-sorts the rows by position.
 
     Each source's documents form a stream in the order of md5(id), repeated up to ``repeats`` times and cut where the target ends; the document
-    at the cut is taken in part. The weight schedule integrated over training time gives the demand t -> target * (t(1-g) + g*t*t); inverted, it
+    at the cut is taken in part: its first words. The weight schedule integrated over training time gives the demand t -> target * (t(1-g) + g*t*t); inverted, it
     turns a cumulative word count into a training position in [0, 1). Columns: doc_id, size, source_size, target, taken, position (of the first
-    take, null if nothing is taken), positions (of all takes), and ``keep``.
+    take, null if nothing is taken), takes (position and words of each), and ``keep``.
 
     Null text counts 0 words, null ids sort as the empty string, a null source is one source and comes last. Equal rows get equal columns
     but for the words taken at the cut. No documents give no rows. Other columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         F.struct(F.col(source_col).isNull().alias("missing"), F.coalesce(source_col, F.lit("")).alias("name")).alias("source_key"),
@@ -64,7 +63,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("draw"),
         *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)),
     )
-    slim = store(slim, "mix")
+    if not keep:  # narrow rows are written once; wide ones (whole texts) are rather counted again
+        slim = store(slim, "mix")
     totals = slim.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     most = totals.agg(F.max("n")).first()[0] or 0
     digits = 2
@@ -87,18 +87,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         u, g = (F.col("start") + F.col("source_size") * epoch) / F.col("target"), F.col("slope")
         return F.when(g == 0, u).otherwise((F.sqrt((1 - g) * (1 - g) + 4 * g * u) - (1 - g)) / (2 * g))
 
-    takes = [F.when(words_in(e) > 0, F.struct(position(e).alias("position"), words_in(e).alias("words"))) for e in range(repeats)]
+    takes = [F.when(words_in(e) > 0, F.struct(position(e).alias("position"), words_in(e).cast("long").alias("words"))) for e in range(repeats)]
     out = placed.withColumn("takes", F.array_compact(F.array(*takes)))
     total = sum((words_in(e) for e in range(repeats)), F.lit(0)).cast("long")
-    out = out.select(
-        "doc_id", "size", "source_size", "target", total.alias("taken"), F.col("takes")[0]["position"].alias("position") if repeats == 1 else F.get("takes", F.lit(0))["position"].alias("position"),
-        F.col("takes.position").alias("positions"), "draw", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
+    return out.select(
+        "doc_id", "size", "source_size", "target", total.alias("taken"), F.get("takes", F.lit(0))["position"].alias("position"), "takes", "draw", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
     )
-    return out.repartitionByRange("position", "draw").sortWithinPartitions("position", "draw").drop("draw")
+
+
+def in_order(mixed: DataFrame) -> DataFrame:
+    """Rows of mix_sources() range-sorted by training position; what is not taken comes first."""
+    return mixed.repartitionByRange("position", "draw").sortWithinPartitions("position", "draw").drop("draw")
+
+
+def training_stream(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """The mix itself: a row for each take (position, words, doc_id, text, ``keep``), range-sorted by position. A part is the text's first words."""
+    mixed = mix_sources(docs, text_col=text_col, keep=(text_col, *keep), **options)
+    rows = mixed.select("doc_id", "size", "draw", text_col, *keep, F.explode("takes").alias("take"))
+    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("take.words").cast("int")), "")
+    text = F.when(F.col("take.words") < F.col("size"), part).otherwise(F.col(text_col))
+    rows = rows.select(F.col("take.position").alias("position"), F.col("take.words").alias("words"), "doc_id", text.alias(text_col), *keep, "draw")
+    return in_order(rows)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    mixed = in_order(mix_sources(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
