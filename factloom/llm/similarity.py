@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, pieces, store, table, word_hashes
+from .common import bucketed, byte_view, discard, frugal, mix, pieces, store, table, word_hashes
 from .components import components
 from .sketch import BITS, Sketch, level, merged, present, spread
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 75
+#: Shingles that two linked sets share in their prefixes, at least.
+SHARED = 4
 #: A shingle with a larger estimated count is hot: its postings are dealt out evenly instead of by shingle.
 HOT = 2000
-#: Rounds in which the members of a posting list are compared with one of them only, before the rest is compared in full.
-STAR_ROUNDS = 4
+#: Rounds, at most, in which the members of a posting list are compared with one of them only, as long as each halves what is left.
+STAR_ROUNDS = 6
+#: What is left is compared in full as soon as that takes at most so many comparisons of places for each posting.
+EFFORT = 50
 _C = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -47,7 +53,20 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-n * percent // 100) + 1
+    """Linked sets share SHARED shingles (or all they need, if that is less) in prefixes of this length."""
+    need = -(-n * percent // 100)
+    return n - need + min(SHARED, need)
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted hashes, by which two sets are compared."""
+    return (shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
 
 
 def verify(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -75,6 +94,7 @@ def _table(cols: dict) -> pa.RecordBatch:
 def _members(docs: DataFrame, n_words: int) -> DataFrame:
     """Each row with its set's size and name; and the blocks of the counting sketch."""
 
+    @frugal
     def run(batches):
         sketch, seen = Sketch(), set()
         for b in pieces(batches, "text"):
@@ -98,10 +118,9 @@ def _postings(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int) -
     """(shingle, node, n, pos) of the prefixes, rarest shingles first, of those shingles that two sets or more have in their prefixes."""
     spread_counts, hot = docs.sparkSession.sparkContext.broadcast(counts), int(level(HOT))
 
+    @frugal
     def run(batches):
-        from pyspark import TaskContext
-
-        seen, part, counts = set(), TaskContext.get().partitionId(), spread_counts.value
+        seen, counts = set(), spread_counts.value
         for b in pieces(batches, "text"):
             hs, nodes, ns, ps, levels = [], [], [], [], []
             for s in shingle_sets(*byte_view(b.column("text")), n_words):
@@ -117,14 +136,15 @@ def _postings(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int) -
                 ns.append(np.full(p, len(s)))
                 ps.append(np.arange(p))
             if hs:
-                warm = np.concatenate(levels) > hot
-                yield _table({"shingle": np.concatenate(hs).view(np.int64), "salt": np.where(warm, part + 1, 0).astype(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns).astype(np.int32), "pos": np.concatenate(ps).astype(np.int32)})
+                place = np.concatenate(ns) << 31 | np.concatenate(ps)
+                yield _table({"shingle": np.concatenate(hs).view(np.int64), "node": np.concatenate(nodes), "place": np.where(np.concatenate(levels) > hot, ~place, place)})
 
+    @frugal
     def shared(batches):
         carry = None
         for b in _then_none(batches):
             if b is not None:
-                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
                 if carry is not None:
                     now = [np.concatenate([x, y]) for x, y in zip(carry, now, strict=True)]
                 if not len(now[0]):
@@ -137,18 +157,24 @@ def _postings(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int) -
                 now = carry
             if not len(now[0]):
                 continue
-            h, salt, node, n, pos = now
+            h, node, place = now
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-            h, salt, node, n, pos = (x[new] for x in now)
+            h, node, place = (x[new] for x in now)
             group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            keep = (np.bincount(group)[group] > 1) | (salt > 0)
+            keep = (np.bincount(group)[group] > 1) | (place < 0)
             if keep.any():
-                yield _table({"shingle": h[keep], "node": node[keep], "n": n[keep], "pos": pos[keep]})
-
-    rows = docs.select("text").mapInArrow(run, "shingle long, salt long, node long, n int, pos int")
-    dealt = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "node")
-    return store(dealt.mapInArrow(shared, "shingle long, node long, n int, pos int"), "postings")
+                place = np.where(place < 0, ~place, place)[keep]
+                yield _table({"shingle": h[keep], "node": node[keep], "n": (place >> 31).astype(np.int32), "pos": (place & (2**31 - 1)).astype(np.int32)})
+
+    # a negative place marks a hot shingle, whose postings are dealt out by node
+    rows = docs.select("text").mapInArrow(run, "shingle long, node long, place long")
+    dealt = rows.repartition(F.when(F.col("place") < 0, F.xxhash64("shingle", "node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle", "node")
+    lists = store(dealt.mapInArrow(shared, "shingle long, node long, n int, pos int"), "postings")
+    enough = lists.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)))
+    out = store(lists.join(enough.select("node"), "node", "left_semi"), "postings")
+    discard(lists)
+    return out
 
 
 def _then_none(batches):
@@ -166,6 +192,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n_words: int) -> DataFrame:
     """(node, shingles) of the sets whose names may be wanted."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    @frugal
     def run(batches):
         seen = set()
         for b in pieces(batches, "text"):
@@ -175,46 +202,61 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n_words: int) -> DataFrame:
                     seen.add(node)
                     if held.value[int(spread(np.array([node], np.int64).view(np.uint64))[0]) >> (64 - BITS)]:
                         nodes.append(node)
-                        blobs.append(s.tobytes())
+                        blobs.append(packed(s))
             if nodes:
                 yield _table({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
 
-    return store(docs.select("text").mapInArrow(run, "node long, shingles binary"), "sets")
+    @frugal
+    def once(batches):
+        seen = set()
+        for b in batches:
+            keep = []
+            for node in b.column("node").to_pylist():
+                keep.append(node not in seen)
+                seen.add(node)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    n, schema = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node long, shingles binary"
+    return docs.select("text").mapInArrow(run, schema).repartition(n, "node").mapInArrow(once, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked): each pair judged once on its whole sets."""
 
+    @frugal
     def run(batches):
         for b in batches:
             a, c = b.column("sa").to_pylist(), b.column("sb").to_pylist()
-            ok = [verify(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, c, strict=True)]
+            ok = [verify(unpacked(x), unpacked(y), percent) for x, y in zip(a, c, strict=True)]
             yield _table({"a": b.column("a"), "b": b.column("b"), "linked": pa.array(ok, pa.bool_())})
 
-    sets = sets.dropDuplicates(["node"])
     rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return store(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean"), "verified")
 
 
 def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, row_id: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, n_shingles, component_id) of every row: groups of documents connected by similar shingle sets.
+    """(row_id, doc_id, n_shingles, component_id, component) of every row: groups of documents connected by similar shingle sets.
 
     Equal sets are one node, collapsed within each task and again in the shuffle, so copies are never paired. A posting list is first compared
-    with one of its members (another in each round); members already connected need no comparison. What then remains between different
-    groups of a list is compared in full, pair by pair: no link is lost, and no pair of connected documents is made. Length and positional
-    filters cut the pairs, the suffix filter the verification.
+    with one of its members (first the one with the fewest rarer shingles, then others); members already connected need no comparison. What
+    then remains between different groups of a list is compared in full, pair by pair: no link is lost, and no pair of connected documents is
+    made. Length and positional filters cut the pairs, the suffix filter the verification.
 
     Null or empty text: no shingles, alone in its group. Null ids: the group's smallest id that is not null. Repeated rows link to each other.
-    No documents give no rows. Other columns are not read. Sets are compared by 64-bit hashes of their shingles.
+    component names the group itself (null without shingles). No documents give no rows. Other columns are not read. Sets are
+    built from 64-bit hashes of their shingles and compared by 48 bits of them.
     """
     docs = docs.select((F.col(row_id).cast("long") if row_id else F.lit(None).cast("long")).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = _members(docs, n_words)
     counts = merged(members.where("block is not null"))
     members = members.where("block is null").drop("block", "blob")
     lists = _postings(docs, counts, n_words, percent)
-    links, labels, judged, sets = None, None, None, None
+    labels, judged, before, verdicts, closing = None, None, None, [], contextlib.ExitStack()
     for star in range(STAR_ROUNDS + 1):
         open_ = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # positional filter: no member links at a shingle that leaves it too few others for the smallest set of the list
+        fewest = lists.groupBy("shingle").agg(F.min("n").alias("fewest"))
+        open_ = open_.join(fewest, "shingle").where(F.col("n") - F.col("pos") >= F.ceil(percent * (F.col("n") + F.greatest("fewest", F.ceil(F.col("n") * percent / 100))) / (100 + percent))).drop("fewest")
         mixed = open_.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
         open_ = store(open_.join(mixed, "shingle", "left_semi"), "open")
         if open_.isEmpty():
@@ -222,35 +264,42 @@ def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERC
         by_comp = open_.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         by_list = store(by_comp.groupBy("shingle").agg(F.sum("k").alias("k"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most")), "lists")
         effort = by_list.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
-        full = star == STAR_ROUNDS or effort <= 4 * lists.count()
+        full = star == STAR_ROUNDS or effort <= EFFORT * lists.count() or (before is not None and 2 * effort > before)
+        before = effort
         if full:
             # every pair of different groups has a member outside the list's main group
             left = open_.join(by_list.select("shingle", "main"), "shingle").where("comp <> main").drop("main")
         else:
-            left = open_.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("draw"), "node", "n", "pos", "comp")).alias("hub")).select("shingle", "hub.node", "hub.n", "hub.pos", "hub.comp")
+            # the member with the fewest rarer shingles is nearest to all others
+            hub = F.struct(F.col("pos") if star == 0 else F.xxhash64("node", F.lit(star)).alias("draw"), F.xxhash64("node").alias("tie"), "node", "n", F.col("pos").alias("at"), "comp")
+            left = open_.groupBy("shingle").agg(F.min(hub).alias("hub")).select("shingle", "hub.node", "hub.n", F.col("hub.at").alias("pos"), "hub.comp")
         left = left.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "comp")))
+        # a linked pair passes the positional filter at the first shingle it shares
         need = F.ceil(percent * (F.col("n") + F.col("n_")) / (100 + percent))
         pairs = (
             open_.join(left, "shingle").where("comp <> comp_")
-            .where((F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) + F.least("pos", "pos_") >= need))
+            .where((F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent) & (F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) >= need))
             .select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
         )
         if judged is not None:
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
-        if sets is None:
-            sets = _sets(docs, present(open_.select("node"), "node"), n_words)
+        if judged is None:
+            sets = closing.enter_context(bucketed(_sets(docs, present(open_, "node"), n_words), "node", "sets"))
         now = _verified(pairs, sets, percent)
+        verdicts.append(now)
         judged = now if judged is None else judged.unionByName(now)
-        links = judged.where("linked").select("a", "b")
-        labels = components(links)
+        labels, old = components(judged.where("linked")), labels
+        discard(open_, by_list, pairs, old)
         if full:
             break
+    closing.close()
+    discard(lists, *verdicts)
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, comp long")
     placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "comp", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return placed.join(least, "comp", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("comp").alias("component"))
 
 
 def op2_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
