@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are turned into numpy arrays at once; one longer document is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: ASCII white space that ends a word: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,7 +38,27 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    spark = None
+    for f in frames:
+        path = getattr(f, "_stored", None) if f is not None else None
+        if path:
+            spark = f.sparkSession
+            _delete(spark, path)
+    gc.collect()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
 
 
 @contextlib.contextmanager
@@ -43,17 +66,42 @@ def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
     """``df`` as a table in the shared folder, bucketed by ``key``, so that joins on it don't move it; dropped at the end."""
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(n, key).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE {name}")
+        _delete(spark, path)
+
+
+def whole_texts(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows of whole texts go to Python in smaller batches than the default, which is meant for narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    whole_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frugal(run):
+    """A batch function whose worker gives its freed memory back to the system when the task ends: idle workers hold none."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that ``column`` has at most ``limit`` bytes in each (one row at least)."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import discard, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,9 +18,11 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             labels = hook.select(F.col("old").alias("node"), F.col("new").alias("comp"))
         else:
-            moved = labels.join(hook, labels["comp"] == hook["old"], "left")
+            moved, before = labels.join(hook, labels["comp"] == hook["old"], "left"), labels
             labels = store(moved.select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+            discard(before)
         h1, h2 = hook.toDF("a", "ra"), hook.toDF("b", "rb")
-        links = links.join(h1, "a").join(h2, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        links = store(links.distinct(), "links")
+        left = links.join(h1, "a").join(h2, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        links, before = store(left.distinct(), "links"), links
+        discard(before)
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import frugal, pieces, table
 from .pretokens import SPECIAL, SPLIT, Encoder, encoder, tokenizer_path
 
 #: Pre-tokens of a new leaf; a leaf of more than so many characters has its tree built anew.
@@ -147,6 +147,7 @@ FIELDS = "leaf_chars array<int>, leaf_tokens array<int>, n_tokens long, n_encode
 
 
 def _mapped(docs: DataFrame, path: str, ranks_path: str, edited: bool) -> DataFrame:
+    @frugal
     def run(batches):
         enc = encoder(path, ranks_path)
         for b in pieces(batches, "text"):

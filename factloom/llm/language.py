@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import KeyTable, byte_view, pieces, table
+from .common import KeyTable, byte_view, frugal, pieces, table
 
 #: Longest context in bytes.
 ORDER = 4
@@ -136,6 +136,7 @@ def identify(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",))
     names = [f"kept_{i}" for i in range(len(keep))]
     spread = docs.sparkSession.sparkContext.broadcast(trees)
 
+    @frugal
     def run(batches):
         trees = spread.value
         for b in pieces(batches, "text", 1 << 20):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, pieces, prefix_hash, span_hash, word_hashes, words
+from .common import BYTE_LOWER, byte_view, frugal, mix, pieces, prefix_hash, span_hash, word_hashes, words
 
 BITS = 16
 
@@ -33,8 +33,6 @@ def quality_features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray
 
 def toxicity_features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, slot) of words and of their first 4 and 5 bytes, lower-cased: one family, in which each slot counts once per row."""
-    from .common import BYTE_LOWER
-
     starts, ends, row = words(data, off)
     if not len(starts):
         return [(row, row)]
@@ -83,6 +81,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     )
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("draw", "y", "text").limit(rows)
 
+    @frugal
     def run(batches):
         for b in pieces(batches, "text"):
             data, off = byte_view(b.column("text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyTable, byte_view, mix, pieces, store, table, word_hashes
+from .common import KeyTable, byte_view, frugal, mix, pieces, store, table, word_hashes
 from .sums import SCHEMA, blocks, summed
 
 #: Words with parameters of their own; words whose counts are broadcast (the counts of all others are joined).
@@ -61,6 +61,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _counts(texts: DataFrame) -> DataFrame:
     """(h, c) of every training token: counted within tasks, then by the shuffle."""
 
+    @frugal
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -112,6 +113,7 @@ def _classes(texts: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
     """The class of each lexicon word, and the number of classes without that of all other words."""
     spread, size = texts.sparkSession.sparkContext.broadcast(_small(vocab)), vocab.lexicon * (MARKERS + 1)
 
+    @frugal
     def run(batches):
         total = np.zeros(size, np.float32)
         for b in pieces(batches, "text"):
@@ -223,6 +225,7 @@ def _train(texts: DataFrame, vocab: Vocabulary, model: Model) -> Model:
     for r in range(ROUNDS):
         spread = sc.broadcast(model)
 
+        @frugal
         def run(batches, spread=spread):
             start = spread.value
             u, speed = start.u.copy(), np.full((n_u, C), 1e-2, np.float32)
@@ -285,6 +288,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     base, end, lexicon = vocab.base, vocab.end, vocab.lexicon
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,n:int>>"
 
+    @frugal
     def run(batches):
         m = held.value
         for b in pieces(batches, "text", 1 << 20):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store, table
+from .common import frugal, store, table
 
 #: Links of a node in the upper layers (twice as many in the lowest), and beam widths of building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 64, 96
@@ -187,6 +187,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "v", "dim", F.lit(None).cast("long").alias("point"))
     held = points.select(F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "v", "dim", "point")
 
+    @frugal
     def run(batches):
         def answer(points_, graphs, q):
             for dim, part in graphs.items():

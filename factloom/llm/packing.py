@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, store, table
+from .common import frugal, pieces, store, table
 from .pretokens import encoder, tokenizer_path
 
 END_ID = (1).to_bytes(4, "little")
@@ -94,6 +94,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str, id_col: str = "doc_id", te
     Other columns, whatever their names, are not read.
     """
 
+    @frugal
     def first(batches):
         part = TaskContext.get().partitionId()
         enc, packer = encoder(path, ranks_path), Packer(size, windows, slack)
@@ -108,6 +109,7 @@ def pack(docs: DataFrame, path: str, ranks_path: str, id_col: str = "doc_id", te
         yield from _rows(run(), part, part << 32)
 
     def merge(level: int):
+        @frugal
         def filled(batches):
             part = TaskContext.get().partitionId()
             packer = Packer(size, 1, 0)

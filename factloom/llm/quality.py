@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, byte_view, mix, pieces, table, word_hashes
+from .common import SPACE, byte_view, frugal, mix, pieces, table, word_hashes
 from .linear import BITS, Rows, adam, labelled_sample, quality_features, scores, sigmoid
 
 #: Labelled rows that the classifier is fitted on, at most; every fifth calibrates it.
@@ -84,6 +84,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     fields = ", ".join(f"kept_{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    @frugal
     def run(batches):
         for b in pieces(batches, "text"):
             data, off = byte_view(b.column("text"))

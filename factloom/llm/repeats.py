@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, byte_view, mix, pieces, powers, prefix_hash, span_hash, store, table
+from .common import bucketed, byte_view, discard, frugal, mix, pieces, powers, prefix_hash, span_hash, store, table
 from .sketch import BITS, present, spread
 
 LENGTH, GRAM = 200, 64
@@ -80,29 +80,31 @@ def _fresh(batches, limit: int = 1 << 20):
             yield b.filter(pa.array(keep))
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose rank occurs twice or more."""
-    ranks = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
-    return rows.join(ranks, "rank", "left_semi")
-
-
 def _candidates(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(d, ranks) of the texts with repeated anchors."""
 
+    @frugal
     def run(batches):
         for b in _fresh(batches):
             data, off = byte_view(b.column("text"))
             row, _, _, _, key = anchors(data, off, prefix_hash(data), length, gram)
-            yield _batch({"rank": key.view(np.int64), "d": b.column("d").to_numpy()[row]})
+            # a rank that a text has again and again is one row
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, int)
+            again = np.diff(np.append(first, len(key))) > 1
+            yield _batch({"rank": key[first].view(np.int64), "d": b.column("d").to_numpy()[row[first]], "again": again})
 
-    rows = texts.where(F.octet_length("text") >= length).mapInArrow(run, "rank long, d long")
-    return store(_repeated(rows).groupBy("d").agg(F.collect_set("rank").alias("ranks")), "anchors")
+    rows = texts.where(F.octet_length("text") >= length).mapInArrow(run, "rank long, d long, again boolean")
+    ranks = rows.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again")).where("n > 1 or again").select("rank")
+    return store(rows.join(ranks, "rank", "left_semi").groupBy("d").agg(F.collect_set("rank").alias("ranks")), "anchors")
 
 
 def _kept_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts that may be in ``wanted``, dealt out by their names."""
     held = texts.sparkSession.sparkContext.broadcast(present(wanted, "d"))
 
+    @frugal
     def run(batches):
         for b in _fresh(batches, 8 << 20):
             ids = b.column("d").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -124,6 +126,7 @@ def _ranked(texts: DataFrame, todo: DataFrame, block: int, length: int, gram: in
     """(common, whole, d, place, low, high, own): for blocks of windows at offsets low..high before an anchor, the rank of what they have in
     common and of what they cover together. ``todo`` has the ranks of anchors (first round) or coarser blocks; own is false for witnesses."""
 
+    @frugal
     def run(batches):
         for b in pieces(batches, "text", 1 << 20):
             data, off = byte_view(b.column("text"))
@@ -156,13 +159,13 @@ def _ranked(texts: DataFrame, todo: DataFrame, block: int, length: int, gram: in
     return texts.join(todo, "d").mapInArrow(run, "common long, whole long, d long, place int, low int, high int, own boolean")
 
 
-def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """The blocks whose windows all repeat, and the blocks (with witnesses) that the next round splits, by text."""
+def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """The blocks whose windows all repeat, the blocks (with witnesses) that the next round splits, by text, and the tables behind both."""
     groups = rows.groupBy("common").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1")
     rows = store(rows.join(groups.select("common", (F.col("least") != F.col("most")).alias("mixed")), "common"), "blocks")
     all_ = rows.where("not mixed")
     if last:
-        return all_, None
+        return all_, None, [rows]
     mixed = rows.where("mixed")
     twice = mixed.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", F.lit(True).alias("whole_repeats"))
     mixed = store(mixed.join(twice, "whole", "left").withColumn("whole_repeats", F.coalesce("whole_repeats", F.lit(False))), "blocks")
@@ -172,7 +175,7 @@ def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     witnesses = near.groupBy("common", "whole").agg(F.min(block).alias("x")).select("x.*", F.lit(False).alias("own"))
     todo = open_.select("d", "place", "low", "high", "own").unionByName(witnesses)
     todo = todo.groupBy("d").agg(F.collect_list(F.struct("place", "low", "high", "own")).alias("x")).select("d", "x.place", "x.low", "x.high", "x.own")
-    return all_.unionByName(mixed.where("whole_repeats").drop("whole_repeats")), todo
+    return all_.unionByName(mixed.where("whole_repeats").drop("whole_repeats")), todo, [rows, mixed]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
@@ -184,11 +187,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     texts = _texts(docs, text_col)
     todo = _candidates(texts, length, gram)
     with bucketed(_kept_texts(texts, todo), "d", "repeat_texts") as held:
-        settled = []
+        settled, behind = [], [todo]
         for i, block in enumerate(BLOCKS):
-            done, todo = _settle(_ranked(held, todo, block, length, gram, i == 0), block == 1)
+            done, todo, tables = _settle(_ranked(held, todo, block, length, gram, i == 0), block == 1)
             settled.append(done.select("d", "place", "low", "high"))
-        return _removed(held, settled, length)
+            behind += tables
+            discard()
+        out = _removed(held, settled, length)
+    discard(*behind)
+    return out
 
 
 def _removed(held: DataFrame, settled: list[DataFrame], length: int) -> DataFrame:
@@ -197,6 +204,7 @@ def _removed(held: DataFrame, settled: list[DataFrame], length: int) -> DataFram
         spans = spans.unionByName(s)
     spans = spans.groupBy("d").agg(F.collect_list(F.struct((F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))).alias("x"))
 
+    @frugal
     def run(batches):
         for b in pieces(batches, "text"):
             data, off = byte_view(b.column("text"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, mix
+
 #: 2**BITS counters, one byte each when broadcast (16 MB); 2**BLOCK_BITS counters to a block.
 BITS, BLOCK_BITS = 24, 18
 
@@ -34,6 +36,7 @@ class Sketch:
 def merged(blocks: DataFrame) -> np.ndarray:
     """The sum of all blocks (block int, blob binary), on a logarithmic scale in one byte: 8 * log2(1 + count)."""
 
+    @frugal
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
@@ -58,6 +61,7 @@ def level(count: np.ndarray | int) -> np.ndarray:
 def present(df: DataFrame, column: str) -> np.ndarray:
     """A sketch of one column of 64-bit keys, whose zeros prove that a key is absent."""
 
+    @frugal
     def run(batches):
         s = Sketch()
         for b in batches:
@@ -69,6 +73,4 @@ def present(df: DataFrame, column: str) -> np.ndarray:
 
 
 def spread(keys: np.ndarray) -> np.ndarray:
-    from .common import mix
-
     return mix(keys)

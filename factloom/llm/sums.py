@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 BLOCK = 4096
 SCHEMA = "block int, blob binary"
 
@@ -27,6 +29,7 @@ def blocks(a: np.ndarray) -> Iterator[pa.RecordBatch]:
 def summed(rows: DataFrame, size: int) -> np.ndarray:
     """The sum, whose size does not depend on the data, on the driver. Memory of a summing task: its blocks once."""
 
+    @frugal
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, pieces, table
+from .common import byte_view, frugal, pieces, table
 from .linear import BITS, Rows, adam, labelled_sample, scores, sigmoid, toxicity_features
 
 #: Labelled rows that the regression is fitted on, at most.
@@ -76,6 +76,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, toxic_fro
     """
     weights, theta = fit(docs, labels, sample)
 
+    @frugal
     def run(batches):
         for b in pieces(batches, "text"):
             data, off = byte_view(b.column("text"))
