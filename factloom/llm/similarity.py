@@ -22,7 +22,7 @@ HOT = 2000
 #: Rounds, at most, in which the members of a posting list are compared with one of them only, as long as each halves what is left.
 STAR_ROUNDS = 6
 #: What is left is compared in full as soon as that takes at most so many comparisons of places for each posting.
-EFFORT = 50
+EFFORT = 2
 _C = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
