@@ -59,13 +59,13 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def packed(shingles: np.ndarray) -> bytes:
-    """The leading 48 bits of sorted hashes, by which two sets are compared."""
-    return (shingles >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The leading 40 bits of sorted hashes, by which two sets are compared."""
+    return (shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).reshape(-1)
 
 
@@ -172,7 +172,11 @@ def _postings(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int) -
     dealt = rows.repartition(F.when(F.col("place") < 0, F.xxhash64("shingle", "node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle", "node")
     lists = store(dealt.mapInArrow(shared, "shingle long, node long, n int, pos int"), "postings")
     enough = lists.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)))
-    out = store(lists.join(enough.select("node"), "node", "left_semi"), "postings")
+    # positional filter: no member links at a shingle that leaves it too few others for the smallest set of the list
+    fewest = lists.groupBy("shingle").agg(F.min("n").alias("fewest"))
+    need = F.ceil(percent * (F.col("n") + F.greatest("fewest", F.ceil(F.col("n") * percent / 100))) / (100 + percent))
+    near = lists.join(enough.select("node"), "node", "left_semi").join(fewest, "shingle").where(F.col("n") - F.col("pos") >= need)
+    out = store(near.drop("fewest"), "postings")
     discard(lists)
     return out
 
@@ -244,7 +248,7 @@ def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERC
 
     Null or empty text: no shingles, alone in its group. Null ids: the group's smallest id that is not null. Repeated rows link to each other.
     component names the group itself (null without shingles). No documents give no rows. Other columns are not read. Sets are
-    built from 64-bit hashes of their shingles and compared by 48 bits of them.
+    built from 64-bit hashes of their shingles and compared by 40 bits of them.
     """
     docs = docs.select((F.col(row_id).cast("long") if row_id else F.lit(None).cast("long")).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = _members(docs, n_words)
@@ -254,9 +258,6 @@ def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERC
     labels, judged, before, verdicts, closing = None, None, None, [], contextlib.ExitStack()
     for star in range(STAR_ROUNDS + 1):
         open_ = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # positional filter: no member links at a shingle that leaves it too few others for the smallest set of the list
-        fewest = lists.groupBy("shingle").agg(F.min("n").alias("fewest"))
-        open_ = open_.join(fewest, "shingle").where(F.col("n") - F.col("pos") >= F.ceil(percent * (F.col("n") + F.greatest("fewest", F.ceil(F.col("n") * percent / 100))) / (100 + percent))).drop("fewest")
         mixed = open_.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
         open_ = store(open_.join(mixed, "shingle", "left_semi"), "open")
         if open_.isEmpty():
