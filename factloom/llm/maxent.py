@@ -3,13 +3,15 @@
 P(token | context) = P(class | context) * P(token | class, token before)
 
 The class depends, by a softmax over hashed features, on the token before (bigram), the token before that (skip) and both (trigram). Within a
-class the frequent words (the lexicon) depend on the token before by hashed features too; all other words are one class, within which they
-share the probability by their counts. Classes are made from all training documents: words are clustered by the documents they stand in,
-and each cluster is cut by frequency.
+class words depend on the token before by hashed features too. The frequent words (the lexicon) are told apart; all others are hashed into
+buckets, whose number follows the counted vocabulary up to ``BUCKETS``. A bucket has features and an id as context like a word of the lexicon,
+and its words share its probability by their counts; all buckets are one class. The other classes are made from all training documents:
+words are clustered by the documents they stand in, and each cluster is cut by frequency.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +24,15 @@ from .sums import SCHEMA, blocks, summed
 
 #: Words with parameters of their own; words whose counts are broadcast (the counts of all others are joined).
 LEXICON, HEAD = 1 << 15, 1 << 20
+#: Other words that share a bucket on average, until there are so many buckets.
+BUCKET_WORDS, BUCKETS = 64, 1 << 13
 #: Classes of the lexicon, clusters of words, marker words that tell documents apart.
 CLASSES, CLUSTERS, MARKERS = 32, 8, 32
-#: Rows of each hashed feature table, contexts and slots of the word features, rounds of training.
-FEATURES, CONTEXTS, SLOTS, ROUNDS = 1 << 13, 256, 1 << 18, 2
+#: Rows of each hashed feature table, contexts (the first OWN are one token each, all other tokens are hashed) and slots of the word features,
+#: rounds of training.
+FEATURES, CONTEXTS, OWN, SLOTS, ROUNDS = 1 << 13, 512, 256, 1 << 19, 2
+#: All rows of class features: three tables, and four for the kinds of the two tokens before.
+ROWS = 3 * FEATURES + 4
 BATCH, RATE = 1 << 14, 0.3
 #: The hash that stands for the end of a text.
 END = np.uint64(0x1D8AF066F5C9E1B3)
@@ -33,7 +40,7 @@ END = np.uint64(0x1D8AF066F5C9E1B3)
 
 @dataclass
 class Vocabulary:
-    """Sizes of the training data, counts of the head, and the lexicon: the first words of the head (id = place)."""
+    """Sizes of the training data, counts of the head, and the lexicon: the first words of the head (id = place); after it come the buckets."""
 
     total: int
     distinct: int
@@ -45,6 +52,22 @@ class Vocabulary:
     def base(self) -> float:
         return float(np.log10(self.total + 0.1 * (self.distinct + 1)))
 
+    @property
+    def buckets(self) -> int:
+        return min(BUCKETS, max(1, (self.distinct - self.lexicon) // BUCKET_WORDS))
+
+
+def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(h ^ END) % np.uint64(buckets)).astype(np.int64)
+
+
+def ids_of(h: np.ndarray, words: KeyTable, buckets: int) -> np.ndarray:
+    """The id of each token: its place in the lexicon, or that of its bucket."""
+    ids = words.find(h).astype(np.int64)
+    other = ids < 0
+    ids[other] = len(words.keys) + bucket(h[other], buckets)
+    return ids
+
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each token of a batch: the words of each row, A-Z lower-cased, and its end."""
@@ -109,6 +132,23 @@ def _small(vocab: Vocabulary) -> KeyTable:
     return KeyTable(vocab.head.keys[: vocab.lexicon], vocab.head.values[: vocab.lexicon])
 
 
+def _bucket_sizes(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Tokens and distinct words of each bucket: two rows."""
+    spread, n = counts.sparkSession.sparkContext.broadcast(_small(vocab)), vocab.buckets
+
+    @frugal
+    def run(batches):
+        total = np.zeros(2 * n)
+        for b in batches:
+            h, c = b.column("h").to_numpy().view(np.uint64), b.column("c").to_numpy()
+            other = spread.value.find(h) < 0
+            at = bucket(h[other], n)
+            total += np.concatenate([np.bincount(at, weights=c[other], minlength=n), np.bincount(at, minlength=n)])
+        yield from blocks(total)
+
+    return summed(counts.mapInArrow(run, SCHEMA), 2 * n).reshape(2, n).astype(float)
+
+
 def _classes(texts: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
     """The class of each lexicon word, and the number of classes without that of all other words."""
     spread, size = texts.sparkSession.sparkContext.broadcast(_small(vocab)), vocab.lexicon * (MARKERS + 1)
@@ -151,58 +191,76 @@ def _classes(texts: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
 
 
 class Model:
-    """Parameters and what follows from them; ``u``: (3 * FEATURES, classes), ``v``: SLOTS."""
-
-    def __init__(self, vocab: Vocabulary, word_class: np.ndarray, classes: int):
-        self.size, self.classes = vocab.lexicon, classes + 1
-        self.word_class = np.append(word_class, classes)  # id = size: any other word
-        c = vocab.head.values[: self.size].astype(float)
-        rest = max(0, vocab.total - c.sum())
-        per_class = np.append(np.bincount(word_class, weights=c, minlength=classes), rest)
+    """Parameters and what follows from them; ``u``: (ROWS, classes), ``v``: SLOTS; ``sizes``: tokens and words of each bucket, by
+    default those of a single one."""
+
+    def __init__(self, vocab: Vocabulary, word_class: np.ndarray, classes: int, sizes: np.ndarray | None = None):
+        c = vocab.head.values[: vocab.lexicon].astype(float)
+        if sizes is None:
+            sizes = np.array([[max(0, vocab.total - c.sum())], [vocab.distinct - vocab.lexicon]], float)
+        self.lexicon, self.buckets = vocab.lexicon, sizes.shape[1]
+        self.size, self.classes = self.lexicon + self.buckets, classes + 1
+        self.word_class = np.concatenate([word_class, np.full(self.buckets, classes)])
+        c = np.concatenate([c, sizes[0] + 0.5 / self.buckets])
+        per_class = np.bincount(self.word_class, weights=c, minlength=self.classes)
         self.bias = np.log((per_class + 0.5) / (per_class + 0.5).sum()).astype(np.float32)
-        self.inside = np.log(c / per_class[word_class])
-        self.rest_base = float(np.log10(rest + 0.1 * (vocab.distinct - self.size + 1)))
-        self.u = np.zeros((3 * FEATURES, self.classes), np.float32)
+        self.within = np.log(c / per_class[self.word_class])
+        self.inside = self.within[: self.lexicon]
+        # each bucket has room for one unseen word
+        self.rest_base = np.log10(sizes[0] + 0.1 * (sizes[1] + 1))
+        self.u = np.zeros((ROWS, self.classes), np.float32)
         self.v = np.zeros(SLOTS)
         self.normalize()
 
     def features(self, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-        """Rows of ``u`` for the tokens before: ids below FEATURES // 2 have a row of their own, others share."""
+        """Rows of ``u`` for the tokens before: ids below FEATURES // 2 have a row of their own, others share; and which of them are buckets."""
         half = FEATURES // 2
         own = lambda i: np.where(i < half, i, half + (mix(i.astype(np.uint64)) % np.uint64(half)).astype(np.int64))
         both = (mix(p1.astype(np.uint64) * np.uint64(0x100000001B3) + p2.astype(np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
-        return np.stack([own(p1), FEATURES + own(p2), 2 * FEATURES + both])
+        kind = 2 * (p1 >= self.lexicon) + (p2 >= self.lexicon)
+        return np.stack([own(p1), FEATURES + own(p2), 2 * FEATURES + both, 3 * FEATURES + kind])
+
+    def context(self, p1: np.ndarray) -> np.ndarray:
+        """Context of the word features for each token before."""
+        return np.where(p1 < OWN, p1, OWN + (mix(p1.astype(np.uint64)) % np.uint64(CONTEXTS - OWN)).astype(np.int64))
 
     def slot(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return (mix(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) >> np.uint64(64 - 18)).astype(np.int64)
+        spread = mix(word.astype(np.uint64) + np.uint64(1)) * (mix(context.astype(np.uint64) + np.uint64(1)) | np.uint64(1))
+        return (spread >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
     def class_logits(self, f: np.ndarray) -> np.ndarray:
-        x = self.u[f[0]] + self.u[f[1]] + self.u[f[2]] + self.bias
+        x = self.u[f[0]] + self.u[f[1]] + self.u[f[2]] + self.u[f[3]] + self.bias
         x -= x.max(axis=1, keepdims=True)
         return x
 
-    def normalize(self) -> None:
-        """Logarithm of the sum within each class, for each context."""
-        self.log_z = np.zeros((CONTEXTS, self.classes), np.float32)
-        w = np.arange(self.size)
+    def _slots(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each context with the slots of all words."""
+        w = mix(np.arange(self.size).astype(np.uint64) + np.uint64(1))
         for g in range(CONTEXTS):
-            e = np.exp(self.inside + self.v[self.slot(np.full(self.size, g), w)])
-            z = np.bincount(self.word_class[:-1], weights=e, minlength=self.classes)
+            yield g, ((w * (mix(np.array([g + 1], np.uint64)) | np.uint64(1))) >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+
+    def normalize(self, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Logarithm of the sum within each class, for each context; what is expected of each slot, where pairs (context, class) are given."""
+        self.log_z = np.zeros((CONTEXTS, self.classes), np.float32)
+        within, v, want = self.within.astype(np.float32), self.v.astype(np.float32), np.zeros(SLOTS)
+        for g, s in self._slots():
+            e = np.exp(within + v[s])
+            z = np.bincount(self.word_class, weights=e, minlength=self.classes)
             z[z == 0] = 1
             self.log_z[g] = np.log(z)
+            if pairs is not None and pairs[g].any():
+                np.add.at(want, s, e * (pairs[g] / z)[self.word_class])
+        return want
 
     def fit_words(self, seen: np.ndarray, pairs: np.ndarray, steps: int = 12) -> None:
         """Word features by scaled gradient steps from the sums over all training tokens: of each slot (seen) and of each context and class."""
-        pairs, w = pairs.reshape(CONTEXTS, self.classes), np.arange(self.size)
+        pairs = pairs.reshape(CONTEXTS, self.classes)
         for _ in range(steps):
-            want = np.zeros(SLOTS)
-            for g in range(CONTEXTS):
-                s = self.slot(np.full(self.size, g), w)
-                p = np.exp(self.inside + self.v[s] - self.log_z[g][self.word_class[:-1]])
-                want += np.bincount(s, weights=p * pairs[g][self.word_class[:-1]], minlength=SLOTS)
-            self.v += np.clip(0.7 * np.log((seen + 2) / (want + 2)), -1, 1)
+            want = self.normalize(pairs)
+            # two tokens more at the rate without the feature: what was seen once or twice moves little
+            self.v += np.clip(0.7 * np.log((seen + 2) / (want + 2 * np.exp(self.v))), -1, 1)
             self.v = np.clip(self.v, -6, 6)
-            self.normalize()
+        self.normalize()
 
 
 def _contexts(ids: np.ndarray, row: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +276,9 @@ def _contexts(ids: np.ndarray, row: np.ndarray, end: int) -> tuple[np.ndarray, n
 
 def _train(texts: DataFrame, vocab: Vocabulary, model: Model) -> Model:
     sc, C = texts.sparkSession.sparkContext, model.classes
-    words = sc.broadcast(_small(vocab))
+    words, buckets = sc.broadcast(_small(vocab)), model.buckets
     split = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
-    n_u, size = 3 * FEATURES, 3 * FEATURES * (C + 1) + SLOTS + CONTEXTS * C
+    n_u, size = ROWS, ROWS * (C + 1) + SLOTS + CONTEXTS * C
     stats = np.zeros(SLOTS + CONTEXTS * C, np.float64)
     for r in range(ROUNDS):
         spread = sc.broadcast(model)
@@ -235,12 +293,11 @@ def _train(texts: DataFrame, vocab: Vocabulary, model: Model) -> Model:
             used, seen, pairs = np.zeros(n_u, np.float32), np.zeros(SLOTS, np.float32), np.zeros(CONTEXTS * C, np.float32)
             for b in pieces(batches, "text"):
                 h, row = tokens(b.column("text"))
-                ids = words.value.find(h)
-                ids[ids < 0] = start.size
+                ids = ids_of(h, words.value, buckets)
                 p1, p2 = _contexts(ids, row, vocab_end)
-                cls, known, g = start.word_class[ids], ids < start.size, np.minimum(p1, CONTEXTS - 1)
-                seen += np.bincount(start.slot(g[known], ids[known]), minlength=SLOTS)
-                pairs += np.bincount(g[known] * C + cls[known], minlength=CONTEXTS * C)
+                cls, g = start.word_class[ids], start.context(p1)
+                seen += np.bincount(start.slot(g, ids), minlength=SLOTS)
+                pairs += np.bincount(g * C + cls, minlength=CONTEXTS * C)
                 for i in range(0, len(ids), BATCH):
                     at = slice(i, i + BATCH)
                     f = start.features(p1[at], p2[at])
@@ -283,7 +340,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     vocab = vocabulary(counts)
     model = None
     if vocab.lexicon:
-        model = _train(texts, vocab, Model(vocab, *_classes(texts, vocab)))
+        model = _train(texts, vocab, Model(vocab, *_classes(texts, vocab), _bucket_sizes(counts, vocab)))
     head, held = spark.sparkContext.broadcast(vocab.head), spark.sparkContext.broadcast(model)
     base, end, lexicon = vocab.base, vocab.end, vocab.lexicon
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,n:int>>"
@@ -299,7 +356,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             weight = np.where(known, np.log10(head.value.values[ids] + 0.1), 0.0) if len(head.value.values) else np.zeros(len(h))
             base_score = np.bincount(row, weights=weight - base, minlength=n)
             if m is not None:
-                lex = np.where((ids < 0) | (ids >= lexicon), lexicon, ids)
+                other = (ids < 0) | (ids >= lexicon)
+                lex = np.where(other, lexicon + bucket(h, m.buckets), ids)
                 p1, p2 = _contexts(lex, row, end)
                 out = np.zeros(len(h))
                 for i in range(0, len(h), BATCH):
@@ -307,10 +365,9 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                     x = m.class_logits(m.features(p1[at], p2[at]))
                     cls = m.word_class[lex[at]]
                     out[at] = (x[np.arange(len(x)), cls] - np.log(np.exp(x).sum(axis=1))) / np.log(10)
-                inside = lex < lexicon
-                g, w = np.minimum(p1[inside], CONTEXTS - 1), lex[inside]
-                out[inside] += (m.inside[w] + m.v[m.slot(g, w)] - m.log_z[g, m.word_class[w]]) / np.log(10)
-                out[~inside] += weight[~inside] - m.rest_base
+                g = m.context(p1)
+                out += (m.within[lex] + m.v[m.slot(g, lex)] - m.log_z[g, m.word_class[lex]]) / np.log(10)
+                out[other] += weight[other] - m.rest_base[lex[other] - lexicon]
                 score = np.bincount(row, weights=out, minlength=n)
             else:
                 score = base_score

@@ -69,3 +69,35 @@ def test_no_training_text_and_no_rows(spark):
     got = score_texts(frame(spark, rows), F.lit(True)).collect()
     assert len(got) == 5 and all(x["n_known"] == 0 and x["train_tokens"] == 0 and x["score"] == x["base_score"] for x in got)
     assert score_texts(frame(spark, []), F.lit(False)).count() == 0
+
+
+def test_words_beyond_the_lexicon_and_the_frequent_contexts_have_features(spark, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(maxent.vocabulary, "__defaults__", (1 << 20, 40))
+    monkeypatch.setattr(maxent, "BUCKET_WORDS", 1)
+    common, rare = [f"c{i}" for i in range(39)], [f"r{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        words = [w for _ in range(20) for k in [r.randrange(150)] for w in (r.choice(common), rare[2 * k], rare[2 * k + 1])]
+        rows.append((i, " ".join(words), None, None, 0, None, None, None))
+    got = [x for x in score_texts(frame(spark, rows), F.col("doc_id") >= 350).collect() if x["held_out"]]
+    # each word 2k + 1 beyond the lexicon follows 2k only
+    assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got) + 20 * len(got)
+
+
+def test_probabilities_of_buckets_sum_to_one():
+    r = np.random.default_rng(0)
+    counts = np.sort(r.integers(1, 50, 30))[::-1]
+    sizes = np.array([[40, 0, 25], [25, 0, 9]], float)
+    vocab = Vocabulary(int(counts.sum()) + 65, 30 + 34, KeyTable(np.arange(1, 31).astype(np.uint64), counts), 30, 0)
+    m = Model(vocab, np.arange(30) % 4, 4, sizes)
+    m.u, m.v = r.normal(size=m.u.shape).astype(np.float32), r.normal(size=m.v.shape)
+    m.normalize()
+    w, p1 = np.arange(33), np.array([30])
+    x = m.class_logits(m.features(p1, np.array([31])))[0]
+    p = np.exp(x) / np.exp(x).sum()
+    assert (m.context(np.arange(256)) == np.arange(256)).all() and len({*m.context(np.arange(256, 1256)).tolist()}) > 200
+    g = m.context(np.full(33, 31))
+    inside = np.exp(m.within + m.v[m.slot(g, w)] - m.log_z[g, m.word_class])
+    share = np.append(np.ones(30), (sizes[0] + 0.1 * sizes[1] + 0.1) / 10**m.rest_base)
+    assert (p[m.word_class] * inside * share).sum() == pytest.approx(1, abs=1e-4)
