@@ -13,7 +13,7 @@ from .common import KeyTable, byte_view, frugal, pieces, table
 
 #: Longest context in bytes.
 ORDER = 4
-#: The trees of a language are grown from so many whole documents at most, each of at most so many bytes.
+#: The trees of a language are grown from so many whole documents at most, those of at most so many bytes first.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 8000
 
 
@@ -110,20 +110,25 @@ class Trees:
         return sums[off[1:]] - sums[off[:-1]]
 
 
-def grow(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, max_langs: int = 64) -> Trees:
-    """Trees from the first documents of each language in a fixed pseudo-random order; docs: doc_id, text, lang. Languages beyond the
-    ``max_langs`` most frequent are not learned; documents of more than ``sample_bytes`` are not drawn."""
-    size = F.octet_length("text")
-    known = docs.where(F.col("lang").isNotNull() & size.between(1, sample_bytes))
-    langs = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+def grow(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Trees:
+    """Trees from the first documents of each language in a fixed pseudo-random order; docs: doc_id, text, lang. Every language that has a
+    text is learned. Documents of more than ``sample_bytes`` come after all shorter ones of their language, whole, until the sample has
+    ``sample_docs`` documents or as many bytes as those may have."""
+    known = docs.select("lang", "doc_id", "text", F.octet_length("text").alias("size")).where(F.col("lang").isNotNull() & (F.col("size") > 0))
+    known = known.withColumn("long", F.col("size") > sample_bytes)
+    langs = {r["lang"]: (r["short"], r["long"]) for r in known.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).collect()}
     # four times the sample is drawn by a threshold on the hash, so that no task keeps a sample of its own
-    draw, top = F.pmod(F.xxhash64("doc_id", "text"), F.lit(10**9)), F.lit(0.0)
-    for lang, n in langs.items():
-        top = F.when(F.col("lang") == lang, F.lit(4e9 * sample_docs / n)).otherwise(top)
-    got = known.select("lang", draw.alias("draw"), "text").where(F.col("draw") < top)
-    got = got.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))).where(F.col("n") <= sample_docs)
+    top = [(g, long, 4e9 * sample_docs / n) for g, (short, many) in langs.items() for long, n in ((False, short), (True, many)) if n and not (long and short >= sample_docs)]
+    top = F.broadcast(docs.sparkSession.createDataFrame(top, "lang string, long boolean, top double"))
+    got = known.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(10**9))).join(top, ["lang", "long"]).where(F.col("draw") < F.col("top"))
+    order = W.partitionBy("lang").orderBy("long", "draw", "text")
+    got = got.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
+    got = got.where((F.col("n") <= sample_docs) & (F.col("before") < sample_docs * sample_bytes))
     got = got.select("lang", "draw", "text").toArrow().sort_by([("draw", "ascending"), ("text", "ascending")]).to_pylist()
-    return Trees(sorted(langs), [[r["text"].encode() for r in got if r["lang"] == g] for g in sorted(langs)])
+    texts: dict[str, list[bytes]] = {g: [] for g in sorted(langs)}
+    for r in got:
+        texts[r["lang"]].append(r["text"].encode())
+    return Trees(list(texts), list(texts.values()))
 
 
 def identify(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -69,3 +69,13 @@ def test_nothing_learned(spark):
     assert [x["lang_pred"] for x in identify(frame(spark, [(1, "abc", None, None, 0, None, None, None)]), trees).collect()] == ["und"]
     assert identify(frame(spark, []), trees).count() == 0
     assert np.isfinite(Trees(["a"], [[b""]]).bits(*bytes_and_offsets(["abc"]))).all()
+
+
+def test_languages_of_long_documents_only_and_many_languages(spark):
+    r = random.Random(5)
+    vocab = {f"l{g:02}": ["".join(chr(0x4E00 + 20 * g + r.randrange(20)) for _ in range(3)) for _ in range(20)] for g in range(70)}
+    rows = [(i, prose(r, vocab[g], 400 if g == "l07" else 20), g, None, 0, None, None, None) for i, g in enumerate(2 * sorted(vocab))]
+    trees = grow(frame(spark, rows), 3, 3000)
+    assert trees.langs == sorted(vocab) and all(len(t[1].encode()) > 3000 for t in rows if t[2] == "l07")
+    asked = frame(spark, [(i, prose(r, vocab[g], 10), g, None, 0, None, None, None) for i, g in enumerate(sorted(vocab))])
+    assert {x["lang"]: x["lang_pred"] for x in identify(asked, trees, ("lang",)).collect()} == {g: g for g in vocab}
