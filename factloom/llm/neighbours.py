@@ -167,25 +167,28 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows with the largest inner products for each row whose id is divisible by ``every``.
 
-    Equal vectors are indexed once, with their k + 1 smallest ids, which hold every answer they can give. Each shard answers every query
-    from its own graph; the answers meet in a top-k for each query, scored anew in double precision. Shards grow with the data up to
-    ``SHARD_ROWS`` vectors, then their number does; queries reach a shard in blocks.
+    Equal vectors are indexed once, with the k + 1 rows of the smallest ids, which hold every answer they can give, and are searched for once.
+    Each shard answers every query from its own graph; the answers meet in a top k + 1 for each query, scored anew in double precision, from
+    which each query row takes k without itself. Shards grow with the data up to ``SHARD_ROWS`` vectors, then their number does; queries
+    reach a shard in blocks.
 
     Vectors that are null, zero, or have null or non-finite components take no part, nor do null ids; vectors of another length than the
-    query's are never near. Ties go to the smaller id; repeated rows are candidates one by one; an empty table gives no rows.
+    query's are never near. Ties go to the smaller id; repeated rows are candidates one by one, and each asks for itself; an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
-    rows = store(valid_vectors(vectors, id_col, vec_col).withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("v")), "vectors")
-    few = rows.withColumn("n", F.row_number().over(W.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    points = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("dim").alias("dim"))
+    rows = store(valid_vectors(vectors, id_col, vec_col).withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    few = rows.withColumn("n", F.row_number().over(W.partitionBy("h", "v").orderBy("vec_id", "row"))).where(F.col("n") <= k + 1)
+    points = few.groupBy("h", "v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("ids"), F.first("dim").alias("dim"))
     points = store(points.withColumn("point", F.monotonically_increasing_id()), "points")
     shards = max(MIN_SHARDS, -(-points.count() // SHARD_ROWS))
-    queries = store(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "dim"), "queries")
+    asking = store(rows.where(F.col("vec_id") % every == 0).join(points.select("h", "v", "point"), ["h", "v"]).select("vec_id", "row", F.col("point").alias("query")), "asking")
+    queries = store(asking.select("query").distinct().join(points.select(F.col("point").alias("query"), "v", "dim"), "query"), "queries")
     if queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # every query is sent to every shard: a stated query set against all rows, block by block
-    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "v", "dim", F.lit(None).cast("long").alias("point"))
-    held = points.select(F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "v", "dim", "point")
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "v", "dim", F.lit(None).cast("long").alias("point"))
+    held = points.select(F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query"), "v", "dim", "point")
 
     @frugal
     def run(batches):
@@ -194,9 +197,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
                 mine = [i for i, v in enumerate(q[1]) if len(v) == dim]
                 if mine:
                     vectors_ = np.array([q[1][i] for i in mine], float)
-                    found = part.search(vectors_, k, beam)
+                    found = part.search(vectors_, k + 1, beam)
                     r, c = np.nonzero(found >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(q[0])[mine][r], pa.int64()), pa.array(np.array(points_[dim][0])[found[r, c]], pa.int64())], names=["query_id", "point"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(q[0])[mine][r], pa.int64()), pa.array(np.array(points_[dim][0])[found[r, c]], pa.int64())], names=["query", "point"])
 
         shard, store_, graphs, q = None, {}, None, ([], [])
         for b in batches:
@@ -220,13 +223,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         if q[0]:
             yield from answer(store_, graphs, q)
 
-    dealt = held.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
-    found = store(dealt.mapInArrow(run, "query_id long, point long"), "found")
-    found = found.join(points.select("point", "ids", F.col("v").alias("pv")), "point").join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
+    dealt = held.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
+    found = store(dealt.mapInArrow(run, "query long, point long"), "found")
+    found = found.join(points.select("point", "ids", F.col("v").alias("pv")), "point").join(queries.select("query", F.col("v").alias("qv")), "query")
     dot = F.aggregate(F.zip_with("pv", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = found.select("query_id", dot.alias("score"), F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    near = found.select("query", dot.alias("score"), F.explode("ids").alias("x")).select("query", "score", "x.vec_id", "x.row").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    near = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "row", "score"))).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x["row"] != F.col("row")), 1, k)
+    out = asking.join(near, "query").select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

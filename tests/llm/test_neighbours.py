@@ -42,3 +42,17 @@ def test_few_rows(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(x["query_id"], x["vec_id"]) for x in nearest(df).collect()] == [(20, 21)]
     assert nearest(df.where("false")).count() == 0 and Graph(np.zeros((0, 3))).search(np.zeros((1, 3)), 2).tolist() == [[-1, -1]]
+
+
+def test_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    other = [(i, x.tolist()) for i, x in enumerate(r.normal(size=(30, 4)), 101) if i % 20]
+    # two equal rows of id 20, one more of it with another vector, and id 40 with fewer copies than neighbours
+    rows = [(20, [1.0, 2.0, 0.0, 0.0])] * 2 + [(20, [0.0, 0.0, -1.0, 3.0]), (21, [1.0, 2.0, 0.0, 0.0])] + [(40, [2.0, 0.0, 1.0, 0.0])] * 7 + other
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], round(x["score"], 9)) for x in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5).collect())
+    want = []
+    for q, (i, x) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(x, y)), j) for p, (j, y) in enumerate(rows) if p != q)[:5]
+            want += [(i, n, j, round(-s, 9)) for n, (s, j) in enumerate(near, 1)]
+    assert got == sorted(want)
