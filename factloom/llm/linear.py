@@ -73,13 +73,14 @@ def scores(families: list[tuple[np.ndarray, np.ndarray]], n: int, weights: np.nd
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(label, slots, values) of at most ``rows`` labelled documents: those whose ids come first in a fixed pseudo-random order.
 
-    Labels and documents without an id or label are left out; of several labels for an id the largest holds.
+    Labels and documents without an id or label are left out; of several labels for an id the largest holds, of several
+    texts the one with the smallest hash.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(rows)
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("draw", "y", "text").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "draw", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     @frugal
     def run(batches):

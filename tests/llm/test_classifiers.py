@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from factloom.llm.quality import quality
@@ -73,3 +74,13 @@ def test_one_class_keeps_everything(spark, label):
     one = labels.selectExpr("doc_id", f"{label} as quality", f"{label} as toxic")
     assert quality(docs, one).where("not kept and not base_failed").count() == 0
     assert toxicity(docs, one).where("toxic").count() == 0
+
+
+def test_copies_of_a_document_leave_room_for_the_other_labels(spark):
+    from factloom.llm.linear import labelled_sample
+
+    docs = spark.createDataFrame([(1, "one")] * 60 + [(1, "uno")] * 60 + [(i, f"text {i}") for i in range(2, 6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    n = lambda off: len(off) - 1
+    got = labelled_sample(docs, labels, "quality", 5, lambda data, off: [(np.arange(n(off)), np.arange(n(off)) * 0)])
+    assert sorted(y for y, _, _ in got) == [0, 0, 1, 1, 1]
