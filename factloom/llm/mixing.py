@@ -61,6 +61,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(F.col(source_col).isNull().alias("missing"), F.coalesce(source_col, F.lit("")).alias("name")).alias("source_key"),
         F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("draw"),
+        F.xxhash64(text_col).alias("tie"),
         *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)),
     )
     if not keep:  # narrow rows are written once; wide ones (whole texts) are rather counted again
@@ -77,7 +78,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .drop("bucket_size")
     )
     targets = source_targets(totals.drop("n"), weights, slopes, share, repeats)
-    at = W.partitionBy("source_key", "bucket").orderBy("draw", "size").rowsBetween(W.unboundedPreceding, 0)
+    at = W.partitionBy("source_key", "bucket").orderBy("draw", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
     placed = slim.join(offsets.join(targets, "source_key"), ["source_key", "bucket"]).withColumn("start", F.col("bucket_start") + F.sum("size").over(at) - F.col("size"))
 
     def words_in(epoch: int) -> Column:
@@ -91,22 +92,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = placed.withColumn("takes", F.array_compact(F.array(*takes)))
     total = sum((words_in(e) for e in range(repeats)), F.lit(0)).cast("long")
     return out.select(
-        "doc_id", "size", "source_size", "target", total.alias("taken"), F.get("takes", F.lit(0))["position"].alias("position"), "takes", "draw", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
+        "doc_id", "size", "source_size", "target", total.alias("taken"), F.get("takes", F.lit(0))["position"].alias("position"), "takes", "draw", "tie", *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
     )
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """Rows of mix_sources() range-sorted by training position; what is not taken comes first."""
-    return mixed.repartitionByRange("position", "draw").sortWithinPartitions("position", "draw").drop("draw")
+    return mixed.repartitionByRange("position", "draw", "tie").sortWithinPartitions("position", "draw", "tie").drop("draw", "tie")
 
 
 def training_stream(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """The mix itself: a row for each take (position, words, doc_id, text, ``keep``), range-sorted by position. A part is the text's first words."""
+    """The mix itself: a row for each take (position, words, doc_id, text, ``keep``), range-sorted by position. A part is the text's first words.
+
+    Documents without a word, null texts among them, are never taken. Rows of equal id and size follow the hash of their texts; only rows that
+    are equal throughout can stand in for each other. No documents give no rows."""
     mixed = mix_sources(docs, text_col=text_col, keep=(text_col, *keep), **options)
-    rows = mixed.select("doc_id", "size", "draw", text_col, *keep, F.explode("takes").alias("take"))
+    rows = mixed.select("doc_id", "size", "draw", "tie", text_col, *keep, F.explode("takes").alias("take"))
     part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("take.words").cast("int")), "")
     text = F.when(F.col("take.words") < F.col("size"), part).otherwise(F.col(text_col))
-    rows = rows.select(F.col("take.position").alias("position"), F.col("take.words").alias("words"), "doc_id", text.alias(text_col), *keep, "draw")
+    rows = rows.select(F.col("take.position").alias("position"), F.col("take.words").alias("words"), "doc_id", text.alias(text_col), *keep, "draw", "tie")
     return in_order(rows)
 
 
