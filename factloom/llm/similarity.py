@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +56,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - need + min(SHARED, need)
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The leading 40 bits of sorted hashes, by which two sets are compared."""
-    return (shingles >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).reshape(-1)
-
-
 def verify(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether 100 * intersection >= percent * union, after the length and suffix filters."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -115,7 +102,8 @@ def _members(docs: DataFrame, n_words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int) -> DataFrame:
-    """(shingle, node, n, pos) of the prefixes, rarest shingles first, of those shingles that two sets or more have in their prefixes."""
+    """(shingle, node, n, pos) of the prefixes, rarest shingles first, of those shingles that two sets or more have in their prefixes; without
+    the sets that have too few of them and the places from which too little follows."""
     spread_counts, hot = docs.sparkSession.sparkContext.broadcast(counts), int(level(HOT))
 
     @frugal
@@ -162,21 +150,34 @@ def _postings(docs: DataFrame, counts: np.ndarray, n_words: int, percent: int) -
             new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
             h, node, place = (x[new] for x in now)
             group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-            keep = (np.bincount(group)[group] > 1) | (place < 0)
+            hot = place < 0
+            keep = (np.bincount(group)[group] > 1) | hot
             if keep.any():
-                place = np.where(place < 0, ~place, place)[keep]
-                yield _table({"shingle": h[keep], "node": node[keep], "n": (place >> 31).astype(np.int32), "pos": (place & (2**31 - 1)).astype(np.int32)})
+                h, node, place, group, hot = h[keep], node[keep], np.where(hot, ~place, place)[keep], group[keep], hot[keep]
+                n, pos = place >> 31, place & (2**31 - 1)
+                # positional filter: no member links at a shingle that leaves it too few others for the smallest set of the list;
+                # a hot list is not all here, so there it is for the smallest set that can link at all
+                first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                fewest = np.repeat(np.minimum.reduceat(n, first), np.diff(np.append(first, len(n))))
+                partner = np.maximum(np.where(hot, 0, fewest), -(-n * percent // 100))
+                near = n - pos >= -(-percent * (n + partner) // (100 + percent))
+                yield _table({"shingle": h, "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "near": near})
 
     # a negative place marks a hot shingle, whose postings are dealt out by node
     rows = docs.select("text").mapInArrow(run, "shingle long, node long, place long")
     dealt = rows.repartition(F.when(F.col("place") < 0, F.xxhash64("shingle", "node")).otherwise(F.col("shingle"))).sortWithinPartitions("shingle", "node")
-    lists = store(dealt.mapInArrow(shared, "shingle long, node long, n int, pos int"), "postings")
+    lists = store(dealt.mapInArrow(shared, "shingle long, node long, n int, pos int, near boolean"), "postings")
     enough = lists.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)))
-    # positional filter: no member links at a shingle that leaves it too few others for the smallest set of the list
-    fewest = lists.groupBy("shingle").agg(F.min("n").alias("fewest"))
-    need = F.ceil(percent * (F.col("n") + F.greatest("fewest", F.ceil(F.col("n") * percent / 100))) / (100 + percent))
-    near = lists.join(enough.select("node"), "node", "left_semi").join(fewest, "shingle").where(F.col("n") - F.col("pos") >= need)
-    out = store(near.drop("fewest"), "postings")
+    held = docs.sparkSession.sparkContext.broadcast(present(enough, "node"))
+
+    @frugal
+    def with_enough(batches):
+        for b in batches:
+            keep = held.value[(spread(b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)] > 0
+            yield b.filter(pa.array(keep))
+
+    # the sketch may let some through that share too little: they cost comparisons, no links
+    out = store(lists.where("near").drop("near").mapInArrow(with_enough, "shingle long, node long, n int, pos int"), "postings")
     discard(lists)
     return out
 
@@ -203,25 +204,14 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n_words: int) -> DataFrame:
             nodes, blobs = [], []
             for s in shingle_sets(*byte_view(b.column("text")), n_words):
                 if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
                     if held.value[int(spread(np.array([node], np.int64).view(np.uint64))[0]) >> (64 - BITS)]:
+                        seen.add(node)
                         nodes.append(node)
-                        blobs.append(packed(s))
+                        blobs.append(s.tobytes())
             if nodes:
                 yield _table({"node": pa.array(nodes, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
 
-    @frugal
-    def once(batches):
-        seen = set()
-        for b in batches:
-            keep = []
-            for node in b.column("node").to_pylist():
-                keep.append(node not in seen)
-                seen.add(node)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    n, schema = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node long, shingles binary"
-    return docs.select("text").mapInArrow(run, schema).repartition(n, "node").mapInArrow(once, schema)
+    return docs.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             a, c = b.column("sa").to_pylist(), b.column("sb").to_pylist()
-            ok = [verify(unpacked(x), unpacked(y), percent) for x, y in zip(a, c, strict=True)]
+            ok = [verify(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, c, strict=True)]
             yield _table({"a": b.column("a"), "b": b.column("b"), "linked": pa.array(ok, pa.bool_())})
 
     rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -248,32 +238,41 @@ def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERC
 
     Null or empty text: no shingles, alone in its group. Null ids: the group's smallest id that is not null. Repeated rows link to each other.
     component names the group itself (null without shingles). No documents give no rows. Other columns are not read. Sets are
-    built from 64-bit hashes of their shingles and compared by 40 bits of them.
+    built from, and compared by, 64-bit hashes of their shingles.
     """
     docs = docs.select((F.col(row_id).cast("long") if row_id else F.lit(None).cast("long")).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = _members(docs, n_words)
     counts = merged(members.where("block is not null"))
     members = members.where("block is null").drop("block", "blob")
     lists = _postings(docs, counts, n_words, percent)
-    labels, judged, before, verdicts, closing = None, None, None, [], contextlib.ExitStack()
+    open_, labels, judged, before, verdicts = lists.withColumn("comp", F.col("node")), None, None, None, []
     for star in range(STAR_ROUNDS + 1):
-        open_ = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = open_.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
-        open_ = store(open_.join(mixed, "shingle", "left_semi"), "open")
-        if open_.isEmpty():
+        if star:
+            # a list whose members are all connected is settled for good
+            moved = open_.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = moved.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+            still = store(moved.join(mixed, "shingle", "left_semi"), "open")
+            discard(open_)
+            open_ = still
+        # the member with the fewest rarer shingles is nearest to all others
+        hub = F.min(F.struct(F.col("pos") if star == 0 else F.xxhash64("node", F.lit(star)).alias("draw"), F.xxhash64("node").alias("tie"), "node", "n", F.col("pos").alias("at"), "comp")).alias("hub")
+        if star:
+            by_comp = open_.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"), hub)
+            by_list = by_comp.groupBy("shingle").agg(F.sum("k").alias("k"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"), F.min("hub").alias("hub"))
+        else:
+            by_list = open_.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.max("comp").alias("main"), F.lit(1).cast("long").alias("most"), hub).where("k > 1")
+        by_list = store(by_list, "lists")
+        effort, postings = by_list.agg(F.sum((F.col("k") - F.col("most")) * F.col("k")), F.sum("k")).first()
+        if not effort:
+            discard(by_list)
             break
-        by_comp = open_.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-        by_list = store(by_comp.groupBy("shingle").agg(F.sum("k").alias("k"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most")), "lists")
-        effort = by_list.agg(F.sum((F.col("k") - F.col("most")) * F.col("k"))).first()[0] or 0
-        full = star == STAR_ROUNDS or effort <= EFFORT * lists.count() or (before is not None and 2 * effort > before)
+        full = star == STAR_ROUNDS or effort <= EFFORT * postings or (before is not None and 2 * effort > before)
         before = effort
         if full:
             # every pair of different groups has a member outside the list's main group
             left = open_.join(by_list.select("shingle", "main"), "shingle").where("comp <> main").drop("main")
         else:
-            # the member with the fewest rarer shingles is nearest to all others
-            hub = F.struct(F.col("pos") if star == 0 else F.xxhash64("node", F.lit(star)).alias("draw"), F.xxhash64("node").alias("tie"), "node", "n", F.col("pos").alias("at"), "comp")
-            left = open_.groupBy("shingle").agg(F.min(hub).alias("hub")).select("shingle", "hub.node", "hub.n", F.col("hub.at").alias("pos"), "hub.comp")
+            left = by_list.select("shingle", "hub.node", "hub.n", F.col("hub.at").alias("pos"), "hub.comp")
         left = left.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "comp")))
         # a linked pair passes the positional filter at the first shingle it shares
         need = F.ceil(percent * (F.col("n") + F.col("n_")) / (100 + percent))
@@ -285,22 +284,32 @@ def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERC
         if judged is not None:
             pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
         pairs = store(pairs, "pairs")
-        if judged is None:
-            sets = closing.enter_context(bucketed(_sets(docs, present(open_, "node"), n_words), "node", "sets"))
-        now = _verified(pairs, sets, percent)
+        # the sets of this round's pairs only: a pass over the texts costs less than moving sets that no pair asks for
+        with bucketed(_sets(docs, present(pairs.select("a").unionAll(pairs.select("b")).toDF("node"), "node"), n_words), "node", "sets") as sets:
+            now = _verified(pairs, sets, percent)
         verdicts.append(now)
         judged = now if judged is None else judged.unionByName(now)
         labels, old = components(judged.where("linked")), labels
-        discard(open_, by_list, pairs, old)
+        discard(by_list, pairs, old)
         if full:
             break
-    closing.close()
-    discard(lists, *verdicts)
+    discard(lists, open_, *verdicts)
+    out = _placed(members, labels)
+    return out.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("comp").alias("component"))
+
+
+def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their group (comp) and its smallest id. Ids are reduced by node, then by group; tables are joined as they are stored, so
+    that Spark can split what belongs to one frequent node or one large group."""
+    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if labels is None:
-        labels = docs.sparkSession.createDataFrame([], "node long, comp long")
-    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "comp", "left").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.col("comp").alias("component"))
+        nodes = nodes.withColumn("comp", F.col("node"))
+    else:
+        linked = store(nodes.join(labels, "node"), "linked")
+        least = store(linked.groupBy("comp").agg(F.min("least").alias("of_all")), "least")
+        linked = store(linked.join(least, "comp").select("node", "comp", "of_all"), "linked")
+        nodes = nodes.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("least"))
+    return members.join(store(nodes, "nodes"), "node", "left")
 
 
 def op2_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

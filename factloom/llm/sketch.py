@@ -26,11 +26,11 @@ class Sketch:
         self.counts[slot] = np.minimum(self.counts[slot].astype(np.int64) + c, 65535)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """Slots (32 bits) and counts (16 bits) of the blocks that have any."""
+        """The blocks that have any count: low bytes, then high bytes, compressed."""
         for i, block in enumerate(self.counts.reshape(-1, 1 << BLOCK_BITS)):
-            at = np.flatnonzero(block)
-            if len(at):
-                yield i, at.astype(np.uint32).tobytes() + block[at].tobytes()
+            if block.any():
+                planes = np.ascontiguousarray(block.astype("<u2").view(np.uint8).reshape(-1, 2).T)
+                yield i, pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def merged(blocks: DataFrame) -> np.ndarray:
@@ -41,9 +41,10 @@ def merged(blocks: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for block, blob in zip(b.column("block").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                n = len(blob) // 6
+                planes = np.frombuffer(pa.decompress(blob, 2 << BLOCK_BITS, codec="zstd", asbytes=True), np.uint8).reshape(2, -1)
                 total = held.setdefault(block, np.zeros(1 << BLOCK_BITS, np.uint64))
-                total[np.frombuffer(blob, np.uint32, n)] += np.frombuffer(blob, np.uint16, n, 4 * n)
+                total += planes[0]
+                total += planes[1].astype(np.uint64) << np.uint64(8)
         for block, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level(total).tobytes()], pa.binary())], names=["block", "blob"])
 
