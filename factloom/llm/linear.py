@@ -1,9 +1,10 @@
-"""Hashed sparse text features, and linear models on them fitted in numpy on a bounded sample."""
+"""Hashed sparse text features, and linear models on them fitted in numpy, in one task, on a bounded sample."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +47,19 @@ def toxicity_features(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarra
     return [(key >> BITS, key & ((1 << BITS) - 1))]
 
 
-def sparse(families: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row the slots and values; within a family a slot's value is its share of the family's occurrences."""
+def sparse(families: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of entries of each row, and the slots and values of all rows end to end; within a family a slot's value is its share of the
+    family's occurrences."""
     keys, values = [], []
     for row, slot in families:
         total = np.bincount(row, minlength=n)
         k, c = np.unique(row << BITS | slot, return_counts=True)
         keys.append(k)
-        values.append(c / total[k >> BITS])
+        values.append((c / total[k >> BITS]).astype(np.float32))
     k, v = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(k, kind="stable")
     k, v = k[order], v[order]
-    cut = np.searchsorted(k >> BITS, np.arange(1, n))
-    return list(zip(np.split(k & ((1 << BITS) - 1), cut), np.split(v, cut), strict=True))
+    return np.bincount(k >> BITS, minlength=n), (k & ((1 << BITS) - 1)).astype(np.uint16), v
 
 
 def scores(families: list[tuple[np.ndarray, np.ndarray]], n: int, weights: np.ndarray) -> np.ndarray:
@@ -70,11 +71,45 @@ def scores(families: list[tuple[np.ndarray, np.ndarray]], n: int, weights: np.nd
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, features) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, slots, values) of at most ``rows`` labelled documents: those whose ids come first in a fixed pseudo-random order.
+class Rows:
+    """Sparse rows: number of entries of each, and all slots and values end to end."""
+
+    def __init__(self, sizes: np.ndarray, slots: np.ndarray, values: np.ndarray):
+        self.n, self.sizes, self.slot, self.value = len(sizes), np.asarray(sizes, np.int64), np.asarray(slots, np.uint16), np.asarray(values, np.float32)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)
+        self.full = np.flatnonzero(self.sizes)
+        self.start = (np.cumsum(self.sizes) - self.sizes)[self.full]
+        # the same entries by slot, so that both products are sums over stretches
+        order = np.argsort(self.slot, kind="stable")
+        self.by_slot = self.row[order], self.value[order]
+        ends = np.bincount(self.slot, minlength=1 << BITS)
+        self.used = np.flatnonzero(ends)
+        self.slot_start = (np.cumsum(ends) - ends)[self.used]
+
+    def take(self, mask: np.ndarray) -> Rows:
+        """The rows under the mask."""
+        inside = mask[self.row]
+        return Rows(self.sizes[mask], self.slot[inside], self.value[inside])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(w[self.slot] * self.value, self.start)
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << BITS)
+        if len(self.used):
+            out[self.used] = np.add.reduceat(g[self.by_slot[0]] * self.by_slot[1], self.slot_start)
+        return out
+
 
-    Labels and documents without an id or label are left out; of several labels for an id the largest holds, of several
-    texts the one with the smallest hash.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int, features, fit) -> list[np.ndarray] | None:
+    """The arrays that ``fit(labels, Rows)`` makes of at most ``rows`` labelled documents: those whose ids come first in a fixed pseudo-random
+    order. None if there are none.
+
+    The sample (bounded by ``rows``) is gathered in one task, which fits the model; only the model comes to the driver. Labels and documents
+    without an id or label are left out; of several labels for an id the largest holds, of several texts the one with the smallest hash.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -83,33 +118,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "draw", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     @frugal
-    def run(batches):
+    def featured(batches):
         for b in pieces(batches, "text"):
-            data, off = byte_view(b.column("text"))
-            got = sparse(features(data, off), b.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("draw"), b.column("y"), pa.array([s.astype(np.int32).tobytes() for s, _ in got], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())],
-                names=["draw", "y", "slots", "values"],
-            )
-
-    got = found.mapInArrow(run, "draw long, y int, slots binary, values binary").toArrow().sort_by([("draw", "ascending"), ("y", "ascending")]).to_pylist()
-    return [(r["y"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in got]
+            sizes, slots, values = sparse(features(*byte_view(b.column("text"))), b.num_rows)
+            ends = np.cumsum(sizes)
+            cut = [pa.array([x[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()) for x in (slots, values)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("draw"), b.column("y"), *cut], names=["doc_id", "draw", "y", "slots", "values"])
 
-
-class Rows:
-    """Sparse rows end to end."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(s) for s, _ in rows])
-        self.slot = np.concatenate([s for s, _ in rows]) if rows else np.zeros(0, np.int32)
-        self.value = np.concatenate([v for _, v in rows]).astype(float) if rows else np.zeros(0)
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.slot] * self.value, minlength=self.n)
-
-    def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slot, weights=g[self.row] * self.value, minlength=1 << BITS)
+    @frugal
+    def fit_all(batches):
+        y, sizes, slots, values = [], [], [], []
+        for b in batches:
+            y.append(b.column("y").to_numpy(zero_copy_only=False))
+            sizes.append(pc.binary_length(b.column("slots")).to_numpy(zero_copy_only=False) // 2)
+            slots.append(_joined(b.column("slots"), np.uint16))
+            values.append(_joined(b.column("values"), np.float32))
+        if y:
+            model = fit(np.concatenate(y), Rows(*map(np.concatenate, (sizes, slots, values))))
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, float).tobytes() for x in model], pa.binary())], names=["part"])
+
+    sample = found.mapInArrow(featured, "doc_id long, draw long, y int, slots binary, values binary").repartition(1).sortWithinPartitions("draw", "doc_id")
+    got = sample.mapInArrow(fit_all, "part binary").collect()
+    return [np.frombuffer(r["part"]) for r in got] or None
+
+
+def _joined(column: pa.Array, dtype: type) -> np.ndarray:
+    """The contents of a binary column end to end."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer((column.buffers()[2] or b"")[off[0] : off[-1]], dtype).copy()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

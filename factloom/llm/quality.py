@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, byte_view, frugal, mix, pieces, table, word_hashes
-from .linear import BITS, Rows, adam, labelled_sample, quality_features, scores, sigmoid
+from .linear import BITS, Rows, adam, fitted, quality_features, scores, sigmoid
 
 #: Labelled rows that the classifier is fitted on, at most; every fifth calibrates it.
 SAMPLE = 3000
@@ -44,18 +44,16 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(first), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": np.bincount(row[covered], minlength=n)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float]:
+def fit(labels: np.ndarray, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the regression, and scale and shift that calibrate its scores. With labels of one class only, all is kept."""
-    got = labelled_sample(docs, labels, "quality", sample, quality_features)
-    y = np.array([x[0] > 0 for x in got], float)
+    y = (labels > 0).astype(float)
     if len(set(y)) < 2:
-        return np.zeros(1 << BITS), 0.0, 20.0
-    hold = np.arange(len(got)) % 5 == 4
+        return np.zeros(1 << BITS), np.array([0.0, 20.0])
+    hold = np.arange(rows.n) % 5 == 4
     if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
-        hold = np.zeros(len(got), bool)
-    train, yt = Rows([x[1:] for x, out in zip(got, hold, strict=True) if not out]), y[~hold]
-    rows, yc = (Rows([x[1:] for x, out in zip(got, hold, strict=True) if out]), y[hold]) if hold.any() else (train, yt)
-    del got
+        hold = np.zeros(rows.n, bool)
+    train, yt = rows.take(~hold), y[~hold]
+    rows, yc = (rows.take(hold), y[hold]) if hold.any() else (train, yt)
     balance = np.where(yt > 0, 0.5 / yt.mean(), 0.5 / (1 - yt.mean())) / len(yt)
 
     def grad(p):
@@ -68,7 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     up, down = (yc.sum() + 1) / (yc.sum() + 2), 1 / ((1 - yc).sum() + 2)
     t = np.where(yc > 0, up, down)
     q = adam(lambda q: np.array([((e := sigmoid(q[0] * s + q[1]) - t) * s).mean(), e.mean()]), np.array([1.0, 0.0]), 500, 0.05)
-    return p[:-1], float(q[0]), float(q[0] * p[-1] + q[1])
+    return p[:-1], np.array([q[0], q[0] * p[-1] + q[1]])
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -78,7 +76,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     Null text has no words and fails; equal rows get equal verdicts; other columns are not read; no documents give no rows;
     without labels of both classes the regression keeps everything.
     """
-    weights, scale, shift = fit(docs, labels, sample)
+    weights, (scale, shift) = fitted(docs, labels, "quality", sample, quality_features, fit) or fit(np.zeros(0), None)
     schema = docs.select(*keep).schema
     given = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     fields = ", ".join(f"kept_{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))

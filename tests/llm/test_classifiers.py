@@ -1,11 +1,13 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from factloom.llm.linear import BITS, Rows
 from factloom.llm.quality import quality
-from factloom.llm.toxicity import GRADES, toxicity
+from factloom.llm.toxicity import GRADES, loss_and_slope, observed, toxicity
 
 from .helpers import documents, frame, prose
 
@@ -77,10 +79,69 @@ def test_one_class_keeps_everything(spark, label):
 
 
 def test_copies_of_a_document_leave_room_for_the_other_labels(spark):
-    from factloom.llm.linear import labelled_sample
+    from factloom.llm.linear import fitted
 
     docs = spark.createDataFrame([(1, "one")] * 60 + [(1, "uno")] * 60 + [(i, f"text {i}") for i in range(2, 6)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(1, 6)], "doc_id long, quality int, text string")
     n = lambda off: len(off) - 1
-    got = labelled_sample(docs, labels, "quality", 5, lambda data, off: [(np.arange(n(off)), np.arange(n(off)) * 0)])
-    assert sorted(y for y, _, _ in got) == [0, 0, 1, 1, 1]
+    y, sizes = fitted(docs, labels, "quality", 5, lambda data, off: [(np.arange(n(off)), np.arange(n(off)) * 0)], lambda y, rows: (y, rows.sizes))
+    assert sorted(y) == [0, 0, 1, 1, 1] and list(sizes) == [1] * 5
+    assert fitted(docs, labels.where("false"), "quality", 5, None, None) is None
+
+
+def sample(n=40, seed=3):
+    r = np.random.default_rng(seed)
+    sizes = r.integers(0, 9, n)
+    sizes[:2] = 0
+    return Rows(sizes, np.concatenate([np.sort(r.choice(50, k, replace=False)) for k in sizes]).astype(int), r.random(sizes.sum()))
+
+
+def test_sparse_products():
+    rows, r = sample(), np.random.default_rng(1)
+    dense = np.zeros((rows.n, 1 << BITS))
+    dense[rows.row, rows.slot] = rows.value
+    w, g = r.normal(size=1 << BITS), r.normal(size=rows.n)
+    assert np.allclose(rows.dot(w), dense @ w) and np.allclose(rows.back(g), g @ dense)
+    mask = g > 0
+    assert np.allclose(rows.take(mask).dot(w), dense[mask] @ w)
+
+
+@pytest.mark.parametrize("top", [1, GRADES])
+def test_ordinal_likelihood_and_slope(top):
+    rows, r = sample(), np.random.default_rng(2)
+    labels = r.integers(0, top + 1, rows.n)
+    low, high = observed(labels)
+    weight = r.random(rows.n)
+    p = np.concatenate([r.normal(size=1 << BITS), [0.3], r.normal(size=GRADES - 1)])
+    loss, slope = loss_and_slope(p, rows, (low, high), weight, 0.01)
+    # the same, grade by grade
+    theta = [p[1 << BITS]]
+    for step in p[(1 << BITS) + 1 :]:
+        theta.append(theta[-1] + math.exp(step))
+    x, total = rows.dot(p[: 1 << BITS]), 0.005 * (p[: 1 << BITS] ** 2).sum()
+    for i in range(rows.n):
+        at_most = [1 / (1 + math.exp(-(t - x[i]))) for t in theta] + [1.0]
+        each = [at_most[0]] + [b - a for a, b in zip(at_most, at_most[1:])]
+        total -= weight[i] * math.log(sum(each[k] for k in range(GRADES + 1) if (k == labels[i] if top > 1 or labels[i] == 0 else k > 0)))
+    assert math.isclose(loss, total, rel_tol=1e-9)
+    for j in [*map(int, rows.slot[:12]), 1 << BITS, (1 << BITS) + 1, (1 << BITS) + 2]:
+        d = np.zeros(len(p))
+        d[j] = 1e-5
+        ends = [loss_and_slope(p + e, rows, (low, high), weight, 0.01)[0] for e in (d, -d)]
+        assert math.isclose(slope[j], (ends[0] - ends[1]) / 2e-5, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_graded_labels_are_predicted_in_order(spark):
+    r = random.Random(7)
+    rows, labels = [], []
+    for i in range(200):
+        grade, text = i % 4, [f"w{r.randrange(40)}" for _ in range(30)]
+        for k in range(grade * 3):
+            text[k * 3] = f"vile{k}"
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, grade))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id < 120")).collect()}
+    assert sum(got[i]["grade"] == i % 4 for i in range(120, 200)) >= 70
+    means = [np.mean([got[i]["severity"] for i in range(120, 200) if i % 4 == g]) for g in range(4)]
+    assert means == sorted(means)
