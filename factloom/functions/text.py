@@ -21,9 +21,10 @@ def strip(c: Column | str) -> Column:
 
 
 def percent_decode(c: Column | str) -> Column:
-    """Percent escapes decoded; a plus stays a plus, and a text with a malformed escape stays as it is."""
+    """Percent escapes decoded; a plus stays a plus, and a percent sign without two hexadecimal digits stays as it is."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    escaped = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(escaped), c)
 
 
 def absolute_url(page: Column, href: Column) -> Column:
@@ -51,7 +52,7 @@ def spoken_title(url: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Distinct lower-case words in code-point order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(1))))
 
 
 def nonbreaking_to_space(c: Column | str) -> Column:

@@ -39,13 +39,18 @@ def url_registry(mentioned: DataFrame, known: DataFrame | None = None) -> DataFr
     start = 0
     if known is not None:
         start = next_id(known)
-        known = known.select(percent_decode(F.col("metadata.url")).alias("url"), F.col("id").alias("cid")).dropDuplicates(["url"])
+        known = known_urls(known)
         first = first.join(known, "url", "left_anti")
     new = number_rows(first.select("url", F.col("first.idx").alias("i"), F.col("first.pos").alias("p")), ["i", "p"], "n")
     new = new.select("url", F.concat(F.lit("c-"), (F.col("n") + start).cast("string")).alias("cid"))
     return new if known is None else known.unionByName(new)
 
 
+def known_urls(known: DataFrame) -> DataFrame:
+    """(url, cid) of a corpus at hand."""
+    return known.select(percent_decode(F.col("metadata.url")).alias("url"), F.col("id").alias("cid")).dropDuplicates(["url"])
+
+
 def corpus_entries(registry: DataFrame, articles: DataFrame) -> DataFrame:
     """Corpus rows; every URL has one, whatever its text."""
     rows = registry.join(articles, "url", "left").withColumn("text", F.coalesce("text", F.lit("")))
@@ -54,7 +59,7 @@ def corpus_entries(registry: DataFrame, articles: DataFrame) -> DataFrame:
 
 def keywords(title_words: Column, fact_words: Column, lemmatize: Callable[[Column], Column]) -> Column:
     """Lemmas of the titles' words that are not lemmas of the fact's, in code-point order. Words are sorted before they are lemmatized."""
-    return F.array_sort(F.array_distinct(F.array_except(for_keywords(lemmatize(title_words)), for_keywords(lemmatize(fact_words)))))
+    return F.sort_array(F.array_distinct(F.array_except(for_keywords(lemmatize(title_words)), for_keywords(lemmatize(fact_words)))))
 
 
 def query_entries(facts: DataFrame, registry: DataFrame, lang: str = "en") -> DataFrame:
@@ -65,7 +70,7 @@ def query_entries(facts: DataFrame, registry: DataFrame, lang: str = "en") -> Da
     lists = found.groupBy("idx").agg(of(False).alias("linked_articles"), of(True).alias("relevant_articles"), titles.alias("titles"))
     rows = facts.select("idx", "text", "fact_date").join(lists, "idx", "left")
     none = F.expr("cast(array() as array<string>)")
-    title_words = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("titles", none), words))))
+    title_words = F.sort_array(F.array_distinct(F.flatten(F.transform(F.coalesce("titles", none), words))))
     return rows.select(
         F.concat(F.lit("q-"), F.col("idx").cast("string")).alias("id"), "text",
         F.coalesce("linked_articles", none).alias("linked_articles"), F.coalesce("relevant_articles", none).alias("relevant_articles"),
@@ -74,6 +79,16 @@ def query_entries(facts: DataFrame, registry: DataFrame, lang: str = "en") -> Da
     )
 
 
+def new_queries(queries: DataFrame, known: DataFrame, lang: str = "en") -> DataFrame:
+    """Queries whose fact has none yet, told by language and text, so that facts added in between don't shift what is done; numbered on from
+    the largest known id."""
+    done = known.select(F.sha2(F.concat_ws("|", F.lit(lang), "text"), 256).alias("content_key")).distinct()
+    start = known.agg(F.max(F.split_part("id", F.lit("-"), F.lit(2)).try_cast("long"))).first()[0]
+    place = F.split_part("id", F.lit("-"), F.lit(2)).cast("long")
+    fresh = number_rows(queries.join(done, "content_key", "left_anti"), [place], "_n")
+    return fresh.withColumn("id", F.concat(F.lit("q-"), (F.col("_n") + (0 if start is None else start + 1)).cast("string"))).drop("_n")
+
+
 def unprocessed(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not done yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

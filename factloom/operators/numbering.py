@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
     """Consecutive numbers from 0 in the given order: rows are range-sorted, counted by partition, and numbered from the counts before.
 
-    The rows are cached between the two passes, so that both see the same partitions; the table of counts has a row per partition.
+    The rows are stored between the two passes, so that both see the same partitions and rows that tie keep their places even if an executor
+    is lost; the table of counts has a row per partition.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    placed = placed.persist()
+    placed = stored(placed, "numbered")
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
     before = counts.select("_part", (F.sum("_k").over(W.orderBy("_part")) - F.col("_k")).alias("_before"))
     # the upper bits of _at are the partition, the lower 33 the place in it

@@ -12,7 +12,8 @@ from ..functions import answers, months, text, vectors
 from ..functions.lemmas import for_keywords, lemmatize_with
 from ..operators import context, dataset, metrics, retrieval, verdict
 from ..operators.numbering import number_rows
-from ..sources import html
+from ..sources import files, html
+from ..sources.storage import new_folder
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,12 +252,12 @@ def month_key(spark, sf):
 
 @query("SELECT source, lang, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1)::BIGINT AS item, doc_id FROM documents")
 def nested_flatten(spark, sf):
-    """Grouped into {source: {lang: [row]}} and flattened again."""
-    d = _t(spark, sf, "documents", "doc_id", "lang", "source")
-    inner = d.groupBy("source", "lang").agg(F.sort_array(F.collect_list("doc_id")).alias("rows"))
-    nested = inner.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "rows"))).alias("months"))
-    flat = nested.select("source", F.explode("months").alias("lang", "rows")).select("source", "lang", F.posexplode("rows").alias("item", "doc_id"))
-    return flat.withColumn("item", F.col("item").cast("long"))
+    """Written as the nested export, {source: {lang: [row]}}, and scanned again."""
+    none, path = F.expr("cast(array() as array<string>)"), new_folder(spark, "facts")
+    place = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))
+    rows = _t(spark, sf, "documents", "doc_id", "lang", "source").select(F.col("source").alias("year"), F.col("lang").alias("month"), place.alias("item"), F.lit("s").alias("section"), F.col("doc_id").cast("string").alias("text"), none.alias("links"), none.alias("relevant_links"))
+    files.write_nested(files.nest_facts(rows), path)
+    return files.scan_facts(spark, path).select(F.col("year").alias("source"), F.col("month").alias("lang"), F.col("item").cast("long").alias("item"), F.col("text").cast("long").alias("doc_id"))
 
 
 @query("SELECT item_id, 'q-' || (row_number() OVER (ORDER BY text, item_id) - 1) AS qid FROM benchmark")
@@ -269,8 +270,10 @@ def positional_ids(spark, sf):
 @query("SELECT doc_id, max(n_chars) AS n_chars FROM (SELECT doc_id, n_chars FROM documents UNION ALL SELECT doc_id, -1 FROM labels) GROUP BY doc_id")
 def last_wins(spark, sf):
     """Of several records of an id the one of the later batch, here the documents over the labels."""
-    both = _t(spark, sf, "documents", "doc_id", "n_chars").withColumn("batch", F.lit(2)).unionByName(_t(spark, sf, "labels", "doc_id").select("doc_id", F.lit(-1).cast("long").alias("n_chars"), F.lit(1).alias("batch")))
-    return both.groupBy("doc_id").agg(F.max_by("n_chars", "batch").alias("n_chars"))
+    path, row = new_folder(spark, "records"), lambda name, n: _t(spark, sf, name).select(F.col("doc_id").cast("string").alias("id"), n.cast("string").alias("text"))
+    files.append_lines(row("labels", F.lit(-1)), f"{path}/batch=1")
+    files.append_lines(row("documents", F.col("n_chars")), f"{path}/batch=2")
+    return files.scan_corpus(spark, path).select(F.col("id").cast("long").alias("doc_id"), F.col("text").cast("long").alias("n_chars"))
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n'), lambda x: trim(x) <> '')) AS n_paragraphs FROM documents")
@@ -293,19 +296,7 @@ def fragment_retrieval(spark, sf):
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'yes' END AS answer FROM documents")
 def incremental_resume(spark, sf):
     """Two batches: the second judges only what the first did not, and together they are one batch."""
-    import uuid
-
-    from pyspark.errors import PySparkException
-
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except PySparkException:
-        root = None
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    path = f"{root}/predictions-{uuid.uuid4().hex}"
+    path = new_folder(spark, "predictions")
     docs = _t(spark, sf, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("id")).distinct()
 
     def judge(q):
@@ -322,3 +313,6 @@ def keyword_lemmas(spark, sf):
     """The first line's lemmas that may be keywords, by the default lemmatizer."""
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     return _t(spark, sf, "documents").select("doc_id", F.array_join(for_keywords(lemmatize_with("en")(text.words(first))), " ").alias("lemmas"))
+
+
+from . import made  # noqa: E402, F401  (more queries, which need query() and _t())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.months import french_year_month, portuguese_month
 from ..operators.context import abstracts_of, article_text_of, messages
-from ..operators.dataset import corpus_entries, dated_facts, mentions, query_entries, url_registry
+from ..operators.dataset import corpus_entries, dated_facts, known_urls, mentions, new_queries, query_entries, url_registry
 from ..operators.retrieval import Encoder, retrieve
-from ..operators.verdict import Chat, coverage, verdicts
+from ..operators.metrics import evaluate
+from ..operators.verdict import ATTEMPTS, PAUSE, Chat, coverage, verdicts
+from ..sources.files import append_failures, append_outputs, append_predictions, nest_months, scan_predictions, write_results
 from ..sources.html import parse_facts, parse_index
+from ..sources.storage import stored
+from ..streaming.incremental import latest, remaining
 
 
 @dataclass(frozen=True)
@@ -26,6 +31,9 @@ class Evaluation:
     use_fragments: bool = False
     splitter: str = "sentence"
     top_k: int = 5
+    attempts: int = ATTEMPTS
+    pause: float = PAUSE
+    retry_failed: bool = False
 
 
 def scrape(archives: DataFrame, pages: DataFrame) -> DataFrame:
@@ -53,12 +61,35 @@ def quarantine(archives: DataFrame, pages: DataFrame) -> DataFrame:
     return _facts(archives, pages).where("year is null")
 
 
-def build(facts: DataFrame, articles: DataFrame, known: DataFrame | None = None, lang: str = "en") -> tuple[DataFrame, DataFrame]:
-    """facts (year, month, item, ...) and articles (url, text) -> new corpus rows and all queries."""
+def nested(archives: DataFrame, facts: DataFrame) -> DataFrame:
+    """(lang, year, months) of the nested export. Months of the index that have no page, or no fact on it, stay with an empty list; a
+    Portuguese year without a page stays without months, a French one goes."""
+    index = parse_index(archives)
+    fact = F.struct("item", "section", "text", "links", "relevant_links")
+    found = facts.groupBy("lang", "year", "month").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+    listed = index.where("month is not null").select("lang", "year", "month").distinct()
+    none = F.expr(f"cast(array() as {found.schema['facts'].dataType.simpleString()})")
+    months = nest_months(listed.join(found, ["lang", "year", "month"], "full").withColumn("facts", F.coalesce("facts", none)), ["lang", "year"])
+    bare = index.where("lang = 'pt'").select("lang", "year").distinct().join(months, ["lang", "year"], "left_anti")
+    return months.unionByName(bare.withColumn("months", F.expr(f"cast(map() as {months.schema['months'].dataType.simpleString()})")))
+
+
+def count_facts(facts: DataFrame) -> DataFrame:
+    """Number of facts in all."""
+    return facts.agg(F.count(F.lit(1)).alias("facts"))
+
+
+def build(facts: DataFrame, articles: DataFrame, known: DataFrame | None = None, lang: str = "en", asked: DataFrame | None = None, only: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """facts (year, month, item, ...) and articles (url, text) -> new corpus rows and queries; None for the part that ``only`` ("corpus",
+    "queries") leaves out. ``known`` and ``asked`` are the corpus and the queries of an earlier run: what they have isn't made again."""
     dated = dated_facts(facts)
     registry = url_registry(mentions(dated), known)
     fresh = registry if known is None else registry.join(known.select(F.col("id").alias("cid")), "cid", "left_anti")
-    return corpus_entries(fresh, articles), query_entries(dated, registry, lang)
+    corpus = None if only == "queries" else corpus_entries(fresh, articles)
+    if only == "corpus":
+        return corpus, None
+    queries = query_entries(dated, known_urls(known) if only == "queries" and known is not None else registry, lang)
+    return corpus, queries if asked is None else new_queries(queries, asked, lang)
 
 
 def judge(queries: DataFrame, corpus: DataFrame, chat: Chat, options: Evaluation, encoder: Encoder | None = None) -> DataFrame:
@@ -69,4 +100,25 @@ def judge(queries: DataFrame, corpus: DataFrame, chat: Chat, options: Evaluation
     else:
         asked = abstracts_of(queries, corpus, options.mode)
     asked = asked.withColumn("messages", messages("text", "contexts", options.mode, options.allow_idk))
-    return verdicts(asked, chat).withColumn("coverage", F.when(~F.col("failed"), coverage("keywords", "reasoning", options.lang)))
+    return verdicts(asked, chat, options.attempts, options.pause).withColumn("coverage", F.when(~F.col("failed"), coverage("keywords", "reasoning", options.lang)))
+
+
+def run_evaluation(queries: DataFrame, corpus: DataFrame, chat: Chat, options: Evaluation, folder: str, encoder: Encoder | None = None) -> DataFrame:
+    """Judge what remains, add predictions, outputs and failures to ``folder``, and write and return the results over all queries."""
+    spark, path, began = queries.sparkSession, f"{folder}/predictions", time.time()
+    todo = remaining(queries, scan_predictions(spark, path), options.retry_failed)
+    judged = stored(judge(todo, corpus, chat, options, encoder), "judged")  # read three times, called once
+    append_outputs(judged, f"{folder}/outputs")
+    append_failures(judged, f"{folder}/failures")
+    append_predictions(judged, path)  # last: what was broken off before is judged again
+    results = stored(evaluate(queries, latest(scan_predictions(spark, path)), options.model).withColumn("seconds", F.lit(time.time() - began)), "results")
+    write_results(results.drop("seconds"), f"{folder}/results")
+    return results
+
+
+def report(results: DataFrame) -> str:
+    """The results in lines for the console, metrics to four decimals."""
+    r = results.first().asDict()
+    lines = [f"{name}: {r[name]:.4f}" for name in ("accuracy", "recall (without idk)", "idk_ratio", "mean_coverage")]
+    stats = ", ".join(f"{k}: {v}" for k, v in sorted(r["stats"].items()))
+    return "\n".join([f"model: {r['model']}", *lines, f"answers: {stats}", f"seconds: {r['seconds']:.1f}"])

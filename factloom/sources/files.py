@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.months import month_number
+
 FACT = "section string, text string, links array<string>, relevant_links array<string>"
 FACTS_JSON = f"map<string, map<string, array<struct<{FACT.replace(' string', ':string').replace(' array', ':array')}>>>>"
 CORPUS = "id string, text string, abstract string, metadata struct<url:string>"
@@ -59,10 +61,27 @@ def scan_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nest_facts(facts: DataFrame) -> DataFrame:
-    """(year, month, item, fact columns) -> one row per year with its months, each a list in order."""
+    """([lang,] year, month, item, fact columns) -> one row per year with its months in the order of the calendar, each a list in order."""
+    by = [c for c in ("lang", "year") if c in facts.columns]
     fact = F.struct("item", "section", "text", "links", "relevant_links")
-    months = facts.groupBy("year", "month").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
-    return months.groupBy("year").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("month", "facts")))).alias("months"))
+    months = facts.groupBy(*by, "month").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+    return nest_months(months, by)
+
+
+def nest_months(months: DataFrame, by: list[str]) -> DataFrame:
+    """A row per month, with its list of facts -> one per year with a map of its months; months come in the order of the calendar."""
+    entry = F.struct(month_number(F.col("month")).alias("number"), "month", "facts")
+    ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["month"], x["facts"]))
+    return months.groupBy(*by).agg(F.map_from_entries(ordered).alias("months"))
+
+
+def write_nested(nested: DataFrame, path: str) -> None:
+    """The nested export, a JSON object {year: {month: [fact]}} in a file for each year, below its language if there is one."""
+    fact = lambda f: F.struct(f["section"].alias("section"), f["text"].alias("text"), f["links"].alias("links"), f["relevant_links"].alias("relevant_links"))
+    months = F.transform_values("months", lambda _, facts: F.transform(facts, fact))
+    folders = [c for c in ("lang",) if c in nested.columns]
+    rows = nested.select(*folders, F.to_json(F.create_map("year", months), {"ignoreNullFields": "false"}).alias("value"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(*folders).text(path)
 
 
 def write_facts(facts: DataFrame, path: str) -> None:
@@ -80,18 +99,25 @@ def original_names(queries: DataFrame) -> DataFrame:
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTIONS).parquet(path) if _exists(spark, path) else spark.createDataFrame([], PREDICTIONS)
+    """Predictions so far; no folder means none, and a file that can't be read is left out with a warning in the log."""
+    read = spark.read.schema(PREDICTIONS).option("ignoreCorruptFiles", "true")
+    return read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], PREDICTIONS)
 
 
 def append_predictions(predictions: DataFrame, path: str) -> None:
     predictions.select(*(f.name for f in T._parse_datatype_string(PREDICTIONS))).write.mode("append").parquet(path)
 
 
+def append_outputs(predictions: DataFrame, path: str) -> None:
+    """Prompt, answer, reasoning and the whole reply of each fact with a usable one."""
+    append_lines(predictions.where("not failed").select("prompt", F.col("answer").alias("prediction"), "reasoning", F.col("raw").alias("output")), path)
+
+
 def append_failures(predictions: DataFrame, path: str) -> None:
     """The facts without a usable reply, with the reason."""
     append_lines(predictions.where("failed").select("id", F.col("text").alias("fact"), F.lit("Unable to parse JSON").alias("error")), path)
 
 
 def write_results(metrics: DataFrame, path: str) -> None:
-    """One row of results as one JSON file."""
-    metrics.coalesce(1).write.mode("overwrite").json(path)
+    """One row of results as one JSON object in one file."""
+    metrics.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -22,9 +22,13 @@ def resume(queries: DataFrame, path: str, judge: Callable[[DataFrame], DataFrame
     spark = queries.sparkSession
     todo = remaining(queries.dropDuplicates(["id"]), scan_predictions(spark, path), retry_failed)
     append_predictions(judge(todo), path)
-    got = scan_predictions(spark, path)
-    # a query judged again after a failure has two rows: the one that didn't fail holds
-    return got.groupBy("id").agg(F.min_by(F.struct("answer", "reasoning", "coverage", "failed"), F.coalesce("failed", F.lit(False))).alias("x")).select("id", "x.*")
+    return latest(scan_predictions(spark, path))
+
+
+def latest(predictions: DataFrame) -> DataFrame:
+    """One prediction for each query; of one judged again after a failure the row that didn't fail holds."""
+    best = F.min_by(F.struct("answer", "reasoning", "coverage", "failed"), F.coalesce("failed", F.lit(False)))
+    return predictions.groupBy("id").agg(best.alias("x")).select("id", "x.*")
 
 
 def follow(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame]) -> None:
