@@ -16,6 +16,9 @@ from ..sources import files, html
 from ..sources.storage import new_folder
 from ..streaming import incremental
 
+#: Keys of items, and vectors asked about, that are broadcast at once, at most.
+KEYS, ASKED = 10_000, 100_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -122,20 +125,29 @@ def mean_coverage(spark, sf):
 SELECT item_id, count(*) AS n, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS doc_ids
 FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
 def relevant_documents(spark, sf):
-    """Documents that hold an item's text. A pair shares the item's second and third word, so it is found by those and then verified."""
+    """Documents that hold an item's text. A pair shares the item's second and third word, so it is found by those and then verified.
+
+    As long as the items are few (KEYS), their keys travel to the documents, each of which is read once and never moved; beyond that, the
+    documents' word pairs are joined with the keys."""
     items = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = _t(spark, sf, "documents", "doc_id", "text")
     # an item may begin and end inside a word of the document, so neither its first nor its last word is in the key
     inner = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
     keyed = items.withColumn("tokens", inner("item")).withColumn("key", F.when(F.size("tokens") >= 4, F.xxhash64(F.slice("tokens", 2, 2))))
-    grams = docs.select("doc_id", inner("text").alias("t")).where(F.size("t") >= 2)
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.xxhash64(F.slice("t", i, 2))))).alias("key"))
-    pairs = grams.join(keyed.where("key is not null").select("key", "item_id", "item"), "key").select("doc_id", "item_id", "item")
-    short = keyed.where("key is null").select("item_id", "item")
-    pairs = pairs.join(docs, "doc_id").unionByName(docs.join(short, F.contains("text", "item")).select("doc_id", "item_id", "item", "text"))
-    found = pairs.where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    long, short = keyed.where("key is not null").select("key", "item_id", "item"), keyed.where("key is null").select("item_id", "item")
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.xxhash64(F.slice(t, i, 2))))
+    paired = docs.withColumn("t", inner("text")).where(F.size("t") >= 2)
+    n_long, n_short = keyed.agg(F.count("key"), F.count_if(F.col("key").isNull())).first()
+    if n_long <= KEYS:
+        keys = F.broadcast(long.agg(F.collect_set("key").alias("keys")))  # one row of at most KEYS numbers
+        found = paired.crossJoin(keys).select("doc_id", "text", F.explode(F.array_intersect(grams(F.col("t")), "keys")).alias("key")).join(F.broadcast(long), "key")
+    else:
+        found = paired.select("doc_id", F.explode(grams(F.col("t"))).alias("key")).join(long, "key").join(docs, "doc_id")
+    found = found.where(F.contains("text", "item")).select("item_id", "doc_id")
+    if n_short:  # items of fewer than four words are a stated set of queries against all documents
+        found = found.unionByName(docs.join(F.broadcast(short) if n_short <= KEYS else short, F.contains("text", "item")).select("item_id", "doc_id"))
     ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, " ").alias("doc_ids"))
+    return found.distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, " ").alias("doc_ids"))
 
 
 @query("""
@@ -203,15 +215,21 @@ def exact_duplicates(spark, sf):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
-s AS (SELECT query_id, vec_id, round(list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings ON vec_id <> query_id)
-SELECT query_id, vec_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q JOIN embeddings ON vec_id <> query_id)
+SELECT query_id, vec_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def topk_similar(spark, sf):
-    """The stated queries (every fiftieth vector) against all rows: one pass over the rows, the queries beside each."""
-    v = _t(spark, sf, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    scored = v.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(vectors.dot("qv", "embedding"), 4).alias("score"))
-    return retrieval.top_by_group(scored, "query_id", "score", "vec_id", 5).withColumn("rank", F.col("rank").cast("long"))
+    """The stated queries (every twentieth vector) against all rows, in blocks of at most ASKED queries: a block is sent to the rows, which stay
+    where they are, and each task keeps the best five for each query."""
+    v = _t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    blocks, out = max(1, -(-asked.count() // ASKED)), None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", vectors.dot("qv", "embedding").alias("score"))
+        best = retrieval.top_by_group(scored, "query_id", "score", "vec_id", 5)
+        out = best if out is None else out.unionByName(best)
+    return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query("""
@@ -282,17 +300,6 @@ def paragraph_fragments(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.size(parts).cast("long").alias("n_paragraphs"))
 
 
-@query()
-def fragment_retrieval(spark, sf):
-    """For each item the sentences of its documents that are nearest to it, by the offline encoder."""
-    items = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    found = QUERIES["relevant_documents"](spark, sf).select("item_id", F.explode(F.transform(F.split("doc_ids", " "), lambda x: x.cast("long"))).alias("doc_id"))
-    joined = found.join(_t(spark, sf, "documents", "doc_id", "text"), "doc_id").groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), " ").alias("article_text"))
-    q = joined.join(items, "item_id").select(F.col("item_id").cast("string").alias("id"), F.col("item").alias("text"), "article_text")
-    best = retrieval.retrieve(q, k=5)
-    return best.select(F.col("id").cast("long").alias("item_id"), F.posexplode("contexts").alias("rank", "fragment"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'yes' END AS answer FROM documents")
 def incremental_resume(spark, sf):
     """Two batches: the second judges only what the first did not, and together they are one batch."""

@@ -13,7 +13,7 @@ from ..operators import context, dataset, metrics, retrieval, verdict
 from ..sources import articles, files, html
 from ..sources.storage import new_folder
 from . import runs
-from .catalog import _t, query
+from .catalog import QUERIES, _t, query
 
 MONTH_SQL = {lang: "[" + ", ".join(f"'{m}'" for m in names) + "]" for lang, names in months.MONTHS.items()}
 _EN, _FR = MONTH_SQL["en"], MONTH_SQL["fr"]
@@ -288,6 +288,30 @@ def turns_by_likeness(spark, sf):
     return retrieval.top_by_group(scored, "conv_id", "score", "turn", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(r"""WITH a AS (
+  SELECT item_id, any_value(b.text) AS fact, string_agg(d.text, ' ' ORDER BY d.doc_id) AS article FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id
+), s AS (
+  SELECT item_id, fact, list_filter(list_transform(string_split(regexp_replace(article, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM a
+), f AS (
+  SELECT item_id, fact, unnest(parts) AS fragment, generate_subscripts(parts, 1) AS pos FROM s
+), v AS (
+  SELECT *, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(lower(fragment)) - length(replace(lower(fragment), c, '')))::DOUBLE) AS x,
+    list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(lower(fact)) - length(replace(lower(fact), c, '')))::DOUBLE) AS y FROM f
+), c AS (
+  SELECT item_id, fragment, pos, coalesce(list_dot_product(x, y) / nullif(sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)), 0), 0) AS score FROM v
+)
+SELECT item_id, fragment, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) - 1 AS rank FROM c) WHERE rank < 5""")
+def fragment_retrieval(spark, sf):
+    """For each item the five sentences of its documents that are nearest to it."""
+    items = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    found = QUERIES["relevant_documents"](spark, sf).select("item_id", F.explode(F.transform(F.split("doc_ids", " "), lambda x: x.cast("long"))).alias("doc_id"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), " ")
+    joined = found.join(_t(spark, sf, "documents", "doc_id", "text"), "doc_id").groupBy("item_id").agg(whole.alias("article_text"))
+    q = joined.join(items, "item_id").select(F.col("item_id").cast("string").alias("id"), F.col("item").alias("text"), "article_text")
+    best = retrieval.retrieve(q, _letters, k=5)
+    return best.select(F.col("id").cast("long").alias("item_id"), F.posexplode("contexts").alias("rank", "fragment")).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(r"""SELECT item_id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|'), '') AS sentences FROM benchmark""")
 def sentence_fragments(spark, sf):
     return _t(spark, sf, "benchmark").select("item_id", F.array_join(text.fragments("text", "sentence"), "|").alias("sentences"))

@@ -68,8 +68,8 @@ def test_context_keeps_order_and_repeats(spark):
 def test_messages(spark):
     df = spark.createDataFrame([("F", ["a", "b"])], "f string, c array<string>")
     system, user = df.select(context.messages("f", "c", "relevant", allow_idk=False, no_think=True)).first()[0]
-    assert "idk" not in system["content"].replace("'idk' if uncertain", "idk-left") or "or 'idk'" not in system["content"]
-    assert "'answer': one of 'yes', 'no'\n" in system["content"]
+    assert system["content"].startswith(context._WITH_ABSTRACTS + "Answer with 'yes' if true, 'no' if false\nRespond strictly")
+    assert "'answer': one of 'yes', 'no'\n" in system["content"] and "idk" not in system["content"]
     assert user["content"].endswith('FACT:\n"F"\n\nRELEVANT ABSTRACTS:\n\na\n\nb/no_think')
     assert "one of 'yes', 'no', 'idk'" in df.select(context.messages("f", None, "fact", allow_idk=True)).first()[0][0]["content"]
 
@@ -115,13 +115,14 @@ def test_evaluation_end_to_end(spark):
     for options in (Evaluation(mode="linked"), Evaluation(mode="relevant", use_fragments=True, top_k=1), Evaluation(mode="fact")):
         r = judge(queries, corpus, chat, options).first()
         assert r["answer"] == "yes" and not r["failed"]
-    assert judge(queries, corpus, lambda m: "", Evaluation()).first()["failed"] if verdict.PAUSE == 0 else True
+    r = judge(queries, corpus, lambda m: "", Evaluation(pause=0.0)).first()
+    assert (r["answer"], r["failed"], r["attempts"], r["coverage"]) == (None, True, verdict.ATTEMPTS, None)
 
 
 def test_retrieval_ranks_by_likeness(spark):
     q = spark.createDataFrame([("a", "red fox", "The red fox. A blue whale. red sky."), ("b", "x", "")], "id string, text string, article_text string")
     got = {r["id"]: r["contexts"] for r in retrieval.retrieve(q, k=2).collect()}
-    assert got["a"][0] == "The red fox." or got["a"][0] == "red sky." and len(got["a"]) == 2
+    assert got["a"] == ["The red fox.", "red sky."]
     assert got["b"] == []
     import numpy as np
 
@@ -157,3 +158,65 @@ def test_follow_files(spark, tmp_path):
         incremental.follow(spark, str(tmp_path / "in"), "id string", str(tmp_path / "p"), str(tmp_path / "c"), done)
         assert files.scan_predictions(spark, str(tmp_path / "p")).count() == k
         (tmp_path / "in" / "2.json").write_text('{"id":"q-1"}\n{"id":"q-2"}\n')
+
+
+@pytest.mark.parametrize(("url", "want"), [("a%20b", "a b"), ("100%", "100%"), ("%zz%C3%A9", "%zzé"), ("a+b%2B", "a+b+"), ("%", "%"), ("%4", "%4")])
+def test_percent_decoding_escape_by_escape(spark, url, want):
+    from factloom.functions.text import percent_decode
+
+    assert spark.createDataFrame([(url,)], "u string").select(percent_decode("u")).first()[0] == want
+
+
+def test_a_cluster_has_to_name_its_folder():
+    from types import SimpleNamespace
+
+    from factloom.sources.storage import shared_folder
+
+    class Nothing:
+        def get(self, key, default=None):
+            return default
+
+    def on(master, folder=None):
+        return SimpleNamespace(conf=Nothing(), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: folder, setCheckpointDir=lambda path: None))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(on(master))
+    assert shared_folder(on("yarn", "hdfs://h/x/")) == "hdfs://h/x" and shared_folder(on("local[2]")).startswith("file://")
+
+
+def test_predictions_without_a_readable_file(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "part-0.parquet").write_bytes(b"no parquet at all")
+    assert files.scan_predictions(spark, str(tmp_path / "p")).count() == 0
+
+
+def offline(messages):
+    return '{"answer": "yes", "reasoning": "big tower"}' if "A B" in messages[1]["content"] else "?"
+
+
+def test_command_line_from_pages_to_a_report(spark, tmp_path, capsys):
+    from factloom.__main__ import main
+
+    from .test_html import EN, INDEX
+
+    at = lambda name: str(tmp_path / name)
+    spark.createDataFrame([("en", "https://en.wikipedia.org/wiki/I", INDEX["en"][0])], "lang string, url string, html string").write.parquet(at("archives"))
+    spark.createDataFrame([("https://en.wikipedia.org/wiki/M1", EN)], "url string, html string").write.parquet(at("pages"))
+    spark.createDataFrame([("en", "A_B", "Big.\n\nMore")], "lang string, title string, text string").write.parquet(at("articles"))
+    main(["scrape", "--archives", at("archives"), "--pages", at("pages"), "--output", at("facts")], spark)
+    assert capsys.readouterr().out == "facts: 2\n"
+    words = ["build", "--facts", at("facts/lang=en"), "--articles", at("articles"), "--corpus", at("corpus"), "--queries", at("queries")]
+    for _ in range(2):  # the second run finds all done
+        main(words, spark)
+    assert sorted((r["id"], r["abstract"]) for r in files.scan_corpus(spark, at("corpus")).collect()) == [("c-0", "Big."), ("c-1", "")]
+    assert sorted(r["id"] for r in files.scan_queries(spark, at("queries")).collect()) == ["q-0", "q-1"]
+    with pytest.raises(SystemExit):
+        main([*words, "--corpus-only", "--queries-only"], spark)
+    capsys.readouterr()
+    main(["evaluate", "--queries", at("queries"), "--corpus", at("corpus"), "--output", at("run"), "--chat", "tests.test_dataset:offline", "--model", "m", "--pause", "0"], spark)
+    said = capsys.readouterr().out.splitlines()
+    assert said[:4] == ["model: m", "accuracy: 0.5000", "recall (without idk): 1.0000", "idk_ratio: 0.0000"] and said[5] == "answers: null: 1, yes: 1"
+    (tmp_path / "more.json").write_text(json.dumps({"2024": {"April": [{"section": "s", "text": "earlier", "links": []}], "May": [{"section": "s", "text": "... that A B met C ?", "links": []}]}}))
+    main(["build", "--facts", at("more.json"), "--corpus", at("corpus"), "--queries", at("queries"), "--queries-only"], spark)
+    assert {r["id"]: r["text"] for r in files.scan_queries(spark, at("queries")).collect()}["q-2"] == "earlier"
