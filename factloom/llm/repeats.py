@@ -67,6 +67,11 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("d"), text.alias("text"))
 
 
+def _second(text: Column | str) -> Column:
+    """A second name of a text, so that texts are told apart by 128 bits where one of them goes."""
+    return F.xxhash64(F.lit(1), text)
+
+
 def _fresh(batches, limit: int = 1 << 20):
     """Each text once in this task."""
     seen: set[int] = set()
@@ -161,13 +166,16 @@ def _ranked(texts: DataFrame, todo: DataFrame, block: int, length: int, gram: in
 
 def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """The blocks whose windows all repeat, the blocks (with witnesses) that the next round splits, by text, and the tables behind both."""
-    groups = rows.groupBy("common").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1")
-    rows = store(rows.join(groups.select("common", (F.col("least") != F.col("most")).alias("mixed")), "common"), "blocks")
+    # both sides of the join are tables, so that Spark can split the rows of a frequent rank
+    ranked = store(rows, "ranked")
+    groups = store(ranked.groupBy("common").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1").select("common", (F.col("least") != F.col("most")).alias("mixed")), "groups")
+    rows = store(ranked.join(groups, "common"), "blocks")
+    discard(ranked, groups)
     all_ = rows.where("not mixed")
     if last:
         return all_, None, [rows]
     mixed = rows.where("mixed")
-    twice = mixed.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", F.lit(True).alias("whole_repeats"))
+    twice = store(mixed.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", F.lit(True).alias("whole_repeats")), "twice")
     mixed = store(mixed.join(twice, "whole", "left").withColumn("whole_repeats", F.coalesce("whole_repeats", F.lit(False))), "blocks")
     open_ = mixed.where("own and not whole_repeats")
     block = F.struct("d", "place", "low", "high").alias("x")
@@ -175,11 +183,11 @@ def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, l
     witnesses = near.groupBy("common", "whole").agg(F.min(block).alias("x")).select("x.*", F.lit(False).alias("own"))
     todo = open_.select("d", "place", "low", "high", "own").unionByName(witnesses)
     todo = todo.groupBy("d").agg(F.collect_list(F.struct("place", "low", "high", "own")).alias("x")).select("d", "x.place", "x.low", "x.high", "x.own")
-    return all_.unionByName(mixed.where("whole_repeats").drop("whole_repeats")), todo, [rows, mixed]
+    return all_.unionByName(mixed.where("whole_repeats").drop("whole_repeats")), todo, [rows, mixed, twice]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
-    """(d, spans, kept): for each text (named by xxhash64) with strings of ``length`` bytes that also start elsewhere, the maximal stretches
+    """(d, d2, spans, kept): for each text (named by two hashes) with strings of ``length`` bytes that also start elsewhere, the maximal stretches
     of bytes they cover (start, end) and the bytes that are left.
 
     Texts that occur in several rows are looked at once; they repeat as a whole, which the caller sees from the rows. Null text is empty.
@@ -220,10 +228,10 @@ def _removed(held: DataFrame, settled: list[DataFrame], length: int) -> DataFram
                 kept.append(data[off[i] : off[i + 1]][~g].tobytes())
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]])))
                 all_spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["d", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("d2"), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["d", "d2", "spans", "kept"])
 
-    rows = held.join(spans, "d").select("d", "text", "x.start", "x.end")
-    return store(rows.mapInArrow(run, "d long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["d"]), "repeats")
+    rows = held.join(spans, "d").select("d", _second("text").alias("d2"), "text", "x.start", "x.end")
+    return store(rows.mapInArrow(run, "d long, d2 long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["d"]), "repeats")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lean: bool = False) -> DataFrame:
@@ -235,11 +243,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text
     """
     spans = repeated_spans(docs, length, text_col=text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)), F.xxhash64(text).alias("d"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    copies = rows.where(F.col("n_bytes") >= length).groupBy("d").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", F.lit(True).alias("copied"))
+    rows = docs.select(*(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)), F.xxhash64(text).alias("d"), _second(text).alias("d2"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    copies = rows.where(F.col("n_bytes") >= length).groupBy("d", "d2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", "d2", F.lit(True).alias("copied"))
     if lean:
         rows = rows.drop("text")
-    out = rows.join(spans, "d", "left").join(copies, "d", "left")
+    # tables on the right, so that Spark can split the rows of a frequent text
+    out = rows.join(spans, ["d", "d2"], "left").join(store(copies, "copies"), ["d", "d2"], "left")
     none = F.expr("cast(array() as array<struct<start:long,end:long>>)")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     kept: Column = F.when(F.col("copied"), F.lit(b"")).otherwise(F.col("kept") if lean else F.coalesce("kept", F.col("text").cast("binary")))
