@@ -223,7 +223,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         if q[0]:
             yield from answer(store_, graphs, q)
 
-    dealt = held.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
+    dealt = held.unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("query").asc_nulls_first())
     found = store(dealt.mapInArrow(run, "query long, point long"), "found")
     found = found.join(points.select("point", "ids", F.col("v").alias("pv")), "point").join(queries.select("query", F.col("v").alias("qv")), "query")
     dot = F.aggregate(F.zip_with("pv", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
