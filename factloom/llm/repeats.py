@@ -179,8 +179,9 @@ def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, l
     mixed = store(mixed.join(twice, "whole", "left").withColumn("whole_repeats", F.coalesce("whole_repeats", F.lit(False))), "blocks")
     open_ = mixed.where("own and not whole_repeats")
     block = F.struct("d", "place", "low", "high").alias("x")
-    near = mixed.where("whole_repeats or not own").join(open_.select("common").distinct(), "common", "left_semi")
-    witnesses = near.groupBy("common", "whole").agg(F.min(block).alias("x")).select("x.*", F.lit(False).alias("own"))
+    # one witness for each distinct string first: a frequent rank is reduced before its rows are gathered
+    near = mixed.where("whole_repeats or not own").groupBy("common", "whole").agg(F.min(block).alias("x"))
+    witnesses = near.join(open_.select("common").distinct(), "common", "left_semi").select("x.*", F.lit(False).alias("own"))
     todo = open_.select("d", "place", "low", "high", "own").unionByName(witnesses)
     todo = todo.groupBy("d").agg(F.collect_list(F.struct("place", "low", "high", "own")).alias("x")).select("d", "x.place", "x.low", "x.high", "x.own")
     return all_.unionByName(mixed.where("whole_repeats").drop("whole_repeats")), todo, [rows, mixed, twice]
