@@ -17,12 +17,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the classifier go."""
+    """Documents that fail the base rules or the classifier go: null, empty and short texts among them. Equal rows share their fate, null ids are
+    judged by their texts, labels of no document count for nothing, an empty table stays empty, and without labels the base rules decide alone."""
     return quality(docs, table(spark, sf_dir, "labels"), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays (null ids last; of equal rows one). Rows without a word stay."""
+    """Of each group of similar documents the one with the smallest id stays (null ids last; of equal rows one). Rows without a word stay.
+    Texts of any length are compared whole, other columns are carried along, an empty table stays empty."""
     whole_texts(spark)
     docs = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
     groups = similarity_groups(docs, row_id="text_hash").select("component", "doc_id", F.col("row_id").alias("text_hash"))
@@ -35,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that occur more than once are cut from every text; characters that a cut breaks go too, and so do texts without a word left."""
+    """Strings of 200 bytes that occur more than once are cut from every text; characters that a cut breaks go too, and so do texts without a word left.
+    A text in several rows repeats itself and goes whole; null and empty texts, where nothing is cut, stay; an empty table stays empty."""
     whole_texts(spark)
     out = without_repeats(docs, keep=COLUMNS)
     # a cut between the bytes of a character leaves invalid bytes
@@ -46,14 +49,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as their sources' targets want them, in the order of training."""
+    """Documents as often, and as far, as their sources' targets want them, in the order of training. Texts
+    without a word (null, empty) are never taken, a null source is one source, equal rows are taken one by one, an empty table stays empty."""
     whole_texts(spark)
     stream = training_stream(docs, keep=("lang", "source"))
     return stream.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents in sequences of 2048."""
+    """Token ids of all documents in sequences of 2048. A null or empty text is its end id alone, a text of any length is cut into pieces, equal
+    rows and null ids are packed one by one, an empty table stays empty."""
     whole_texts(spark)
     return pack(docs, tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
 
