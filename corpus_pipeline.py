@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are cut from every text; characters that a cut breaks go too, and so do texts without a word left.
-    A text in several rows repeats itself and goes whole; null and empty texts, where nothing is cut, stay; an empty table stays empty."""
+    A text of 200 bytes or more in several rows repeats itself and goes whole; null and empty texts, where nothing is cut, stay; an empty table stays empty."""
     whole_texts(spark)
     out = without_repeats(docs, keep=COLUMNS)
     # a cut between the bytes of a character leaves invalid bytes
