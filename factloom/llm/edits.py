@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import frugal, pieces, table
 from .pretokens import SPECIAL, SPLIT, Encoder, encoder, tokenizer_path
 
-#: Pre-tokens of a new leaf; a leaf of more than so many characters has its tree built anew.
+#: Pre-tokens of a new leaf; a leaf that grows past so many characters is cut into new ones.
 LEAF, LONG_LEAF = 32, 4096
 #: Pre-tokens whose counts a worker remembers.
 MEMORY = 300_000
@@ -42,14 +44,18 @@ def counts_of(enc: Encoder) -> _Counts:
 class Tree:
     """Characters and tokens of each leaf and, above them, of each pair of nodes; node 1 is the root.
 
-    A text that the libraries may split unlike (``opaque``) is one leaf and is always re-encoded as a whole.
+    A text that the libraries may split unlike (not ``plain``) is split by the one that defines the ids, around an edit as well. Only a text
+    with the special token's letters (``opaque``) is one leaf and always re-encoded as a whole.
     """
 
     def __init__(self, text: str, enc: Encoder, leaves: tuple[list[int], list[int]] | None = None):
         self.text, self.enc, self.piece, self.encoded = text, enc, counts_of(enc), 0
-        self.opaque = not enc.plain(text)
+        self.look()
         self.build(leaves)
 
+    def look(self) -> None:
+        self.plain, self.opaque = self.enc.plain(self.text), SPECIAL in self.text
+
     def build(self, leaves: tuple[list[int], list[int]] | None = None) -> None:
         if leaves is not None:
             chars, tokens = (np.asarray(x, np.int64) for x in leaves)
@@ -57,10 +63,8 @@ class Tree:
             chars, tokens = np.array([len(self.text)]), np.array([len(self.enc.slow(self.text))])
             self.encoded += len(self.text)
         else:
-            found = SPLIT.findall(self.text)
-            at = np.arange(0, len(found), LEAF)
-            chars = np.add.reduceat(np.fromiter(map(len, found), np.int64, len(found)), at) if found else np.zeros(0, np.int64)
-            tokens = np.add.reduceat(np.fromiter(map(self.piece.__getitem__, found), np.int64, len(found)), at) if found else np.zeros(0, np.int64)
+            found = SPLIT.findall(self.text) if self.plain else [piece for piece, _ in self.enc.cuts(self.text)]
+            chars, tokens = self.cut(found)
             self.encoded += len(self.text)
         self.leaves = max(1, len(chars))
         self.size = 1 << (self.leaves - 1).bit_length()
@@ -72,6 +76,18 @@ class Tree:
             n >>= 1
             self.sums[n : 2 * n] = self.sums[2 * n : 4 * n : 2] + self.sums[2 * n + 1 : 4 * n : 2]
 
+    def cut(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of new leaves for these pre-tokens."""
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.arange(0, len(found), LEAF)
+        return tuple(np.add.reduceat(np.fromiter(map(of, found), np.int64, len(found)), at) for of in (len, self.piece.__getitem__))
+
+    def pretokens(self, begin: int) -> Iterator[tuple[str, int]]:
+        if self.plain:
+            return ((m.group(), m.end()) for m in SPLIT.finditer(self.text, begin))
+        return self.enc.cuts(self.text, begin)
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -103,10 +119,11 @@ class Tree:
         self.text = self.text[:start] + new + self.text[end:]
         stop, moved = start + len(new), len(new) - (end - start)
         near = self.text[max(0, start - len(SPECIAL)) : stop + len(SPECIAL)]
-        if self.opaque or not self.enc.plain(near) or not old_size:
-            self.opaque = not self.enc.plain(self.text)
+        if self.opaque or SPECIAL in near or not old_size:
+            self.look()
             self.build()
             return
+        self.plain = self.plain and self.enc.plain(near)
         first, begin = self.find(max(0, start - CONTEXT))
         # the next leaf that begins at or after the end of the edit, in characters of the old text
         if end >= old_size:
@@ -116,27 +133,27 @@ class Tree:
             if edge < end or after == first:
                 edge += int(self.sums[self.size + after, 0])
                 after += 1
-        tokens, at = 0, begin
-        if begin < len(self.text):
-            for m in SPLIT.finditer(self.text, begin):
-                at = m.start()
-                if at >= stop:
-                    while edge < at - moved and after < self.leaves:
-                        edge += int(self.sums[self.size + after, 0])
-                        after += 1
-                    if edge == at - moved and after <= self.leaves and edge < old_size:
-                        break
-                tokens += self.piece[m.group()]
-                at = m.end()
+        found, at = [], begin
+        for piece, to in self.pretokens(begin):
+            if at >= stop:
+                while edge < at - moved and after < self.leaves:
+                    edge += int(self.sums[self.size + after, 0])
+                    after += 1
+                if edge == at - moved and after <= self.leaves and edge < old_size:
+                    break
+            found.append(piece)
+            at = to
         if at >= len(self.text):
             after = self.leaves
         self.encoded += at - begin
-        self.set(first, at - begin, tokens)
+        chars, tokens = self.cut(found)
+        if at - begin > LONG_LEAF:  # more leaves, in place of the old ones; the others keep their counts
+            old = self.sums[self.size : self.size + self.leaves]
+            self.build(tuple(np.concatenate([old[:first, i], new, old[after:, i]]) for i, new in enumerate((chars, tokens))))
+            return
+        self.set(first, at - begin, int(tokens.sum()))
         for leaf in range(first + 1, after):
             self.set(leaf, 0, 0)
-        if at - begin > LONG_LEAF:
-            self.encoded -= len(self.text)  # the new leaves are cut, not counted as re-encoded
-            self.build()
 
     def state(self) -> tuple[list[int], list[int]]:
         part = self.sums[self.size : self.size + self.leaves]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 
 import regex
 
@@ -13,6 +14,10 @@ SPECIAL = "<|endoftext|>"
 #: Characters on whose classes all libraries agree; a text with any other is left to the reference tokenizer library.
 PLAIN = regex.compile(r"[^\x09-\x0D\x20-\x7E¡-ǿЀ-џ‐-‧‰-›€]")
 SPLIT = regex.compile(PATTERN)
+#: How far past its end what decides a pre-token can lie: the rest of a contraction, or the end of a run of white space.
+LOOK = 3
+#: Characters that are split at once by the reference library: first, and at most.
+STRETCH, LONGEST = 512, 1 << 16
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,6 +45,20 @@ class Encoder:
     def slow(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def cuts(self, text: str, at: int = 0) -> Iterator[tuple[str, int]]:
+        """Each pre-token from the boundary ``at`` on, and where it ends, as the library that defines the ids splits the text (without SPECIAL);
+        a stretch at a time, leaving out what more text could change."""
+        split, size = self.tokenizer.pre_tokenizer.pre_tokenize_str, STRETCH
+        while at < len(text):
+            stop = min(at + size, len(text))
+            begin = at
+            for _, (a, b) in split(text[begin:stop]):
+                if begin + b + LOOK > stop and stop < len(text):
+                    break
+                at = begin + b
+                yield text[begin + a : at], at
+            size = 2 * size if at == begin else min(2 * size, LONGEST)
+
     def plain(self, text: str) -> bool:
         return not PLAIN.search(text) and SPECIAL not in text
 

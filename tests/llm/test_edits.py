@@ -9,7 +9,7 @@ from factloom.llm.pretokens import encoder, tokenizer_path
 from .helpers import documents, frame, prose
 
 PATHS = (tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
-PIECES = st.sampled_from([" a", "the  ", "\n", "'s", "  \n x", "12", "é", "!!", " ", "\t\t", "<|endo", "ftext|>", "中"])
+PIECES = st.sampled_from([" a", "the  ", "\n", "'s", "  \n x", "12", "é", "!!", " ", "\t\t", "<|endo", "ftext|>", "中", "\u00a0", " ά", "\u2028", "\u0085", "😀", "'l", "l'", "\u0301", "٣", "\u200b"])
 TEXT = st.lists(PIECES, max_size=80).map("".join)
 
 
@@ -35,6 +35,34 @@ def test_only_the_surroundings_are_encoded_again():
     assert tree.encoded < 20 * 600 and tree.tokens == len(encoder(*PATHS).slow(tree.text))
 
 
+def test_texts_of_any_script_are_encoded_around_the_edit_only():
+    r = random.Random(2)
+    enc = encoder(*PATHS)
+    text = "".join(r.choice(["中文字", " слово", "\u00a0", " ή", " 😀", "\n", " plain", "  ", " ١٢", "'ll"]) for _ in range(20_000))
+    tree = Tree(text, enc)
+    assert tree.tokens == len(enc.slow(text)) and tree.leaves > 100
+    tree.encoded = 0
+    for _ in range(20):
+        tree.edit(r.randrange(len(tree.text)), r.randrange(10), " né\u00a0中 ")
+    assert tree.encoded < 20 * 600 and tree.tokens == len(enc.slow(tree.text))
+    plain = Tree(prose(r, 5_000), enc)
+    plain.encoded = 0
+    plain.edit(9_000, 3, "\u00a0中")
+    assert plain.encoded < 600 and plain.tokens == len(enc.slow(plain.text))
+
+
+def test_a_leaf_that_grows_is_cut_without_encoding_the_rest():
+    r = random.Random(3)
+    enc = encoder(*PATHS)
+    tree = Tree(prose(r, 20_000), enc)
+    tree.encoded = 0
+    tree.edit(50_000, 5, prose(r, 2_000))
+    assert 4096 < tree.encoded < 40_000 and tree.tokens == len(enc.slow(tree.text)) and tree.sums[1, 0] == len(tree.text)
+    tree.encoded = 0
+    tree.edit(51_000, 5, "x")
+    assert tree.encoded < 600 and tree.tokens == len(enc.slow(tree.text))
+
+
 def test_operators(spark):
     rows = documents()
     trees = token_trees(frame(spark, rows), *PATHS)
