@@ -251,8 +251,10 @@ def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERC
             # a list whose members are all connected is settled for good
             moved = open_.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = moved.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+            # stored, so that Spark can split a list that is long
+            mixed = store(mixed, "mixed")
             still = store(moved.join(mixed, "shingle", "left_semi"), "open")
-            discard(open_)
+            discard(open_, mixed)
             open_ = still
         # the member with the fewest rarer shingles is nearest to all others
         hub = F.min(F.struct(F.col("pos") if star == 0 else F.xxhash64("node", F.lit(star)).alias("draw"), F.xxhash64("node").alias("tie"), "node", "n", F.col("pos").alias("at"), "comp")).alias("hub")
