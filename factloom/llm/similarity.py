@@ -21,6 +21,8 @@ HOT = 2000
 STAR_ROUNDS = 6
 #: What is left is compared in full as soon as that takes at most so many comparisons of places for each posting.
 EFFORT = 2
+#: A set with more pairs than this is copied, once for each so many, so that its pairs are dealt out.
+DEALT = 64
 _C = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -224,8 +226,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [verify(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, c, strict=True)]
             yield _table({"a": b.column("a"), "b": b.column("b"), "linked": pa.array(ok, pa.bool_())})
 
-    rows = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return store(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean"), "verified")
+    sa, sb = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("copies"))
+    frequent = store(ends.where("copies > 1"), "frequent")
+    if frequent.isEmpty():
+        rows = pairs.join(sa, "a").join(sb, "b")
+    else:
+        # pairs of sets with few pairs stay with the buckets; the others meet a copy of each of their sets
+        pairs = pairs.join(frequent.toDF("a", "copies_a"), "a", "left").join(frequent.toDF("b", "copies_b"), "b", "left")
+        few = F.col("copies_a").isNull() & F.col("copies_b").isNull()
+        rows = pairs.where(few).select("a", "b").join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
+        dealt = pairs.where(~few).select("a", "b", F.coalesce("copies_a", F.lit(1)).alias("copies_a"), F.coalesce("copies_b", F.lit(1)).alias("copies_b"))
+        copied = {}
+        for end, side in (("a", sa), ("b", sb)):
+            asked = dealt.select(end, f"copies_{end}").distinct().join(side, end)
+            copied[end] = asked.select(end, f"s{end}", F.explode(F.sequence(F.lit(0), F.col(f"copies_{end}") - 1)).alias(f"copy_{end}"))
+        dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a", "b"), "copies_a").cast("int").alias("copy_a"), F.pmod(F.xxhash64("b", "a"), "copies_b").cast("int").alias("copy_b"))
+        rows = rows.unionByName(dealt.join(copied["a"], ["a", "copy_a"]).join(copied["b"], ["b", "copy_b"]).select("a", "b", "sa", "sb"))
+    out = store(rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean"), "verified")
+    discard(frequent)
+    return out
 
 
 def similarity_groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, row_id: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,6 +38,16 @@ def test_chains_and_shared_passages(spark, monkeypatch):
         check(spark, rows)
 
 
+def test_pairs_of_frequent_sets_are_dealt_out(spark, monkeypatch):
+    r = random.Random(8)
+    base = prose(r, 120)
+    rows = [(0, base, "en", "a", 1, "", 1, "")] + [(0, f"{base} {prose(r, r.randint(1, 60))}", "en", "a", 1, "", 1, "") for _ in range(60)]
+    rows += [(0, prose(r, 40), "en", "a", 1, "", 1, "") for _ in range(10)]
+    for dealt in (2, 7):
+        monkeypatch.setattr(S, "DEALT", dealt)
+        check(spark, rows)
+
+
 def test_null_ids_and_clashing_columns(spark):
     rows = [(None, "a b c d e f", *[None] * 6), (5, "a b c d e f", *[None] * 6), (None, "g", *[None] * 6), (9, None, *[None] * 6)]
     got = sorted((r["component_id"] is None, r["component_id"] or 0, r["n_shingles"]) for r in similarity_groups(frame(spark, rows)).collect())
