@@ -329,9 +329,13 @@ def _placed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         linked = store(nodes.join(labels, "node"), "linked")
         least = store(linked.groupBy("comp").agg(F.min("least").alias("of_all")), "least")
-        linked = store(linked.join(least, "comp").select("node", "comp", "of_all"), "linked")
-        nodes = nodes.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("least"))
-    return members.join(store(nodes, "nodes"), "node", "left")
+        both = store(linked.join(least, "comp").select("node", "comp", "of_all"), "linked")
+        discard(linked, least)
+        nodes = nodes.join(both, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("least"))
+    placed = store(nodes, "nodes")
+    if labels is not None:
+        discard(both, labels)
+    return members.join(placed, "node", "left")
 
 
 def op2_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
