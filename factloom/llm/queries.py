@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_filter_audit
 from .edits import op10_token_counts
 from .language import op5_language
 from .maxent import op9_maxent
@@ -13,5 +14,5 @@ from .repeats import op3_repeats
 from .similarity import OP2_SQL, op2_similarity
 from .toxicity import op4_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op3_repeats, op4_toxicity, op5_language, op6_neighbours, op7_quality, op8_mixing, op9_maxent, op10_token_counts)}
-SQL = {"op2_similarity": OP2_SQL, "op8_mixing": OP8_SQL}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_similarity, op3_repeats, op4_toxicity, op5_language, op6_neighbours, op7_quality, op8_mixing, op9_maxent, op10_token_counts, op11_filter_audit)}
+SQL = {"op2_similarity": OP2_SQL, "op8_mixing": OP8_SQL, "op11_filter_audit": OP11_SQL}
