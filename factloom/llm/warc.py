@@ -59,20 +59,20 @@ def decisions(pages: DataFrame, id_col: str, min_bytes: int) -> DataFrame:
 
 
 def record_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, groups: int = GROUPS) -> DataFrame:
-    """Pages with what is to be written of them: (id, url, payload, digest, length, to, response). Revisits have no payload."""
+    """Pages with what is to be written of them: (id, url, payload, digest, length, to, response, grouped: others have this payload
+    too). Revisits have no payload."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     found = store(decisions(rows, "id", min_bytes), "groups")
     out = rows.join(F.broadcast(found) if found.count() <= groups else found, "digest", "left")
-    # F.isnull("twins"): nobody else has this payload
     alone, first = F.col("twins").isNull(), F.col("id").eqNullSafe(F.col("to"))
     kept = lambda c: F.when(c, F.col("payload"))
-    fields = lambda response: ("id", "url", kept(response).alias("payload"), "digest", F.octet_length("payload").cast("long").alias("length"), "to", response.alias("response"))
+    fields = lambda response: ("id", "url", kept(response).alias("payload"), "digest", F.octet_length("payload").cast("long").alias("length"), "to", response.alias("response"), F.col("twins").isNotNull().alias("grouped"))
     single = out.where(alone | ~first | (F.col("twins") == 1)).select(*fields(alone | first))
     if found.where("twins > 1").isEmpty():
         return single
     # rows of one id and payload: told apart by their number only, so they are counted for each url, and one becomes the response
-    twins = out.where(F.col("twins").isNotNull() & first & (F.col("twins") > 1)).groupBy("digest", "id", "url", "to").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
+    twins = out.where(F.col("twins").isNotNull() & first & (F.col("twins") > 1)).groupBy("digest", "id", "url", "to", "twins").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n"))
     twins = twins.withColumn("best", F.row_number().over(W.partitionBy("digest", "id").orderBy(F.col("url").desc_nulls_last())) == 1)
     twins = twins.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return single.unionByName(twins.select(*fields(F.col("best") & (F.col("k") == 1))))
@@ -113,7 +113,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     out.write(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _urn(path)), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], [info]))
                 key, known = base32(r["digest"]), r["id"] is not None
                 kind = "response" if r["response"] else "revisit"
-                named = _urn(r["id"], key) if r["response"] else _urn(r["id"], key, path, records)
+                named = _urn(r["id"], key) if r["response"] and r["grouped"] else _urn(r["id"], key, path, records)  # by the first, revisits name it
                 header = [("WARC-Type", kind), ("WARC-Record-ID", named), ("WARC-Date", date), ("WARC-Target-URI", r["url"]), ("WARC-Payload-Digest", f"sha1:{key}"), ("X-Row-ID", str(r["id"]) if known else None)]
                 if not r["response"]:
                     header += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(r["to"], key)), ("X-Refers-To-Row-ID", None if r["to"] is None else str(r["to"]))]
