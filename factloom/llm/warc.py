@@ -162,7 +162,7 @@ class _Bytes:
 
 def _inflated(source: _Bytes, offset: int, ended: list[int]) -> Iterator[bytes]:
     """The content of the gzip member at ``offset``, piece by piece; its end goes to ``ended`` if it has one. Bytes that are none raise zlib.error."""
-    z, pos = zlib.decompressobj(31), offset
+    z, pos, limit = zlib.decompressobj(31), offset, 512  # little at first: a header in front of damage is still read
     while not z.eof:
         part = z.unconsumed_tail
         if not part:
@@ -170,7 +170,8 @@ def _inflated(source: _Bytes, offset: int, ended: list[int]) -> Iterator[bytes]:
             if not len(part):
                 return
             pos += len(part)
-        yield z.decompress(part, PIECE)
+        yield z.decompress(part, limit)
+        limit = min(limit * 4, PIECE)
     ended.append(pos - len(z.unused_data))
 
 
