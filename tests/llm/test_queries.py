@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from factloom.llm.queries import QUERIES, SQL
@@ -26,8 +27,12 @@ def folder(spark, tmp_path_factory):
     rows.append((len(rows), prose(r, 230_000), "en", "a", 7))  # above a megabyte
     frame(spark, rows, DOCS).write.parquet(str(path / "documents.parquet"))
     frame(spark, rows[:-1], DOCS).write.parquet(str(path / "small" / "documents.parquet"))  # where the plain version is slow on a long text
-    # labels have columns that documents have too
-    frame(spark, [(i, i % 3 != 0 and 1 or 0, i % 2, "x") for i in range(0, len(rows), 2)], "doc_id long, quality int, toxic int, text string").write.parquet(str(path / "labels.parquet"))
+    pages = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * (i % 3), None) for i in range(50)] + [(None, None, None, None), (3, "again", None, None), (50, "long", prose(r, 150_000), None)]
+    turns = [(c, i if i else None, r.choice(["user", None]), prose(r, 5, ["a", "b", "c"]) if i % 3 else "hello", 1) for c in range(0, 90, 2) for i in range(r.randint(1, 6))]
+    for where in (path, path / "small"):  # labels have columns that documents have too
+        frame(spark, [(i, i % 3 != 0 and 1 or 0, i % 2, "x") for i in range(0, len(rows), 2)], "doc_id long, quality int, toxic int, text string").write.parquet(str(where / "labels.parquet"))
+        frame(spark, pages, "page_id long, url string, html string, digest string").write.parquet(str(where / "pages.parquet"))
+        frame(spark, turns, "conv_id long, turn long, role string, text string, depth long").write.parquet(str(where / "conversations.parquet"))
     g = np.random.default_rng(3)
     v = g.normal(size=(90, 6)).round(2)
     vectors = [(i, v[i].tolist()) for i in range(90)] + [(20, v[20].tolist()), (20, v[7].tolist()), (40, None), (41, [0.0] * 6), (43, [float("nan")] * 6), (None, v[1].tolist())]
@@ -45,9 +50,10 @@ def by_id(spark, name, folder):
 @pytest.mark.parametrize("name", SQL)
 def test_against_sql(spark, folder, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder[0]}/small/documents.parquet/*.parquet'")
+    for name_ in ("documents", "labels", "pages", "conversations"):
+        db.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{folder[0]}/small/{name_}.parquet/*.parquet'")
     got, want = QUERIES[name](spark, folder[0] + "/small").toPandas(), db.execute(SQL[name]).df()
-    plain = lambda x: None if x is None or x != x else x + 0.0 if isinstance(x, float) else x  # noqa: E731  (no sign on a zero)
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x  # noqa: E731  (longs with nulls come as floats)
     rows = lambda f: sorted(repr([plain(x) for x in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
