@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import sys
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
@@ -50,6 +51,12 @@ def options() -> argparse.ArgumentParser:
     return top
 
 
+def _warn(spark: SparkSession, *paths: tuple[str, str]) -> None:
+    for path, schema in paths:
+        if said := files.skipped(spark, path, schema):
+            print(said, file=sys.stderr)
+
+
 def main(words: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = options().parse_args(words)
     spark = spark or SparkSession.builder.appName(f"factloom {a.program}").getOrCreate()
@@ -59,6 +66,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> N
         files.write_nested(runs.nested(archives, facts), a.output)
         print(f"facts: {runs.count_facts(facts).first()[0]}")
     elif a.program == "build":
+        _warn(spark, (a.corpus, files.CORPUS), (a.queries, files.QUERIES))
         known, asked = files.scan_corpus(spark, a.corpus), files.scan_queries(spark, a.queries)
         facts = files.scan_facts(spark, a.facts)
         urls = runs.mentions(runs.dated_facts(facts)).select("url").distinct()
@@ -74,6 +82,9 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> N
             files.append_lines(corpus, a.corpus)
     else:
         chosen = runs.Evaluation(**{f.name: getattr(a, f.name) for f in fields(runs.Evaluation)})
+        _warn(spark, (a.corpus, files.CORPUS), (a.queries, files.QUERIES))
+        for r in files.unreadable_files(spark, f"{a.output}/predictions").take(20):
+            print(f"{r['file']}: left out, {r['reason']}", file=sys.stderr)
         queries, corpus = files.scan_queries(spark, a.queries), files.scan_corpus(spark, a.corpus)
         print(runs.report(runs.run_evaluation(queries, corpus, named(a.chat), chosen, a.output, named(a.encoder)() if a.encoder else None)))
 

@@ -12,7 +12,7 @@ from ..functions import answers, months, text, vectors
 from ..functions.lemmas import for_keywords, lemmatize_with
 from ..operators import context, dataset, metrics, retrieval, verdict
 from ..operators.numbering import number_rows
-from ..sources import files, html
+from ..sources import files, html, log
 from ..sources.storage import new_folder
 from ..streaming import incremental
 
@@ -287,13 +287,38 @@ def positional_ids(spark, sf):
 
 @query("SELECT doc_id, max(n_chars) AS n_chars FROM (SELECT doc_id, n_chars FROM documents UNION ALL SELECT doc_id, -1 FROM labels) GROUP BY doc_id")
 def last_wins(spark, sf):
-    """Of several records of an id the one of the later batch, here the documents over the labels."""
+    """Of several records of an id the one of the later append to the same folder, here the documents over the labels."""
     path, row = new_folder(spark, "records"), lambda name, n: _t(spark, sf, name).select(F.col("doc_id").cast("string").alias("id"), n.cast("string").alias("text"))
-    files.append_lines(row("labels", F.lit(-1)), f"{path}/batch=1")
-    files.append_lines(row("documents", F.col("n_chars")), f"{path}/batch=2")
+    files.append_lines(row("labels", F.lit(-1)), path)
+    files.append_lines(row("documents", F.col("n_chars")), path)
     return files.scan_corpus(spark, path).select(F.col("id").cast("long").alias("doc_id"), F.col("text").cast("long").alias("n_chars"))
 
 
+@query("""SELECT doc_id, 'append ' || max(CASE WHEN doc_id % k = 0 THEN k END) AS text FROM (SELECT DISTINCT doc_id FROM documents), range(1, 9) r(k) GROUP BY doc_id""")
+def append_order(spark, sf):
+    """Eight appends to one folder, each of every k-th document, one of them repeated under its token and all before the sixth compacted meanwhile."""
+    path = new_folder(spark, "appends")
+    for k in range(1, 9):
+        rows = _t(spark, sf, "documents", "doc_id").distinct().where(F.col("doc_id") % k == 0).select(F.col("doc_id").cast("string").alias("id"), F.lit(f"append {k}").alias("text"))
+        files.append_lines(rows, path, f"batch {k}")
+        if k == 5:
+            log.compact(spark, path, files.CORPUS)
+            log.clean(spark, path)
+            files.append_lines(rows.withColumn("text", F.lit("repeated")), path, "batch 2")
+    return files.scan_corpus(spark, path).select(F.col("id").cast("long").alias("doc_id"), "text")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'no JSON' WHEN 1 THEN 'no id' ELSE 'good' END AS kind FROM documents""")
+def quarantined_lines(spark, sf):
+    """Lines of which every fifth is no JSON and every fifth has no id: what a scan skips, with the reason, beside what it keeps."""
+    path, d = new_folder(spark, "lines"), F.col("doc_id").cast("string")
+    line = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"id": "'), d)).when(F.col("doc_id") % 5 == 1, F.concat(F.lit('{"text": "'), d, F.lit('"}'))).otherwise(F.to_json(F.struct(d.alias("id"))))
+    _t(spark, sf, "documents", "doc_id").select(line.alias("value")).write.text(path)
+    bad = files.broken_lines(spark, path, files.CORPUS).select(F.regexp_extract("value", "[0-9]+", 0).cast("long").alias("doc_id"), F.col("reason").alias("kind"))
+    good = files.read_lines(spark, path, files.CORPUS).select(F.col("id").cast("long").alias("doc_id"), F.lit("good").alias("kind"))
+    return bad.unionByName(good)
+
+
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n'), lambda x: trim(x) <> '')) AS n_paragraphs FROM documents")
 def paragraph_fragments(spark, sf):
     parts = text.fragments(F.replace("text", F.lit("\n"), F.lit("\n\n")), "paragraph")

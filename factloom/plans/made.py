@@ -458,12 +458,12 @@ def _written(df: DataFrame, name: str) -> str:
 
 @query("SELECT doc_id::VARCHAR AS id, 'new' AS text FROM documents UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'old' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def corpus_lines(spark, sf):
-    """A corpus of JSON lines in two batches, among them broken lines and lines without an id: the later row of an id holds."""
+    """A corpus of JSON lines in files and a later append beside them, among them broken lines and lines without an id: the later row of an id holds."""
     path = new_folder(spark, "corpus")
     row = lambda name, word: _t(spark, sf, name, "doc_id").distinct().select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit(word).alias("text"))).alias("value"))
     broken = _t(spark, sf, "region").select(F.explode(F.array(F.lit('{"id": "x'), F.lit("no"), F.lit('{"text": "t"}'))).alias("value"))
-    row("labels", "old").unionByName(broken).write.text(f"{path}/batch=1")
-    row("documents", "new").write.text(f"{path}/batch=2")
+    row("labels", "old").unionByName(broken).write.text(f"{path}/zz")  # its name comes last, its place first
+    files.append_lines(_t(spark, sf, "documents", "doc_id").distinct().select(F.col("doc_id").cast("string").alias("id"), F.lit("new").alias("text")), path)
     return files.scan_corpus(spark, path).select("id", "text")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.months import month_number
+from . import log
 
 FACT = "section string, text string, links array<string>, relevant_links array<string>"
 FACTS_JSON = f"map<string, map<string, array<struct<{FACT.replace(' string', ':string').replace(' array', ':array')}>>>>"
@@ -16,39 +17,57 @@ QUERIES = "id string, text string, `linked articles` array<string>, `relevant ar
 PREDICTIONS = "id string, answer string, reasoning string, coverage double, failed boolean"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def last_of_each(df: DataFrame, key: str = "id") -> DataFrame:
-    """One row for each key: the one that was read last."""
-    order = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    marked = df.withColumn("_order", order)
-    return marked.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_order")))).where("_n = 1").drop("_order", "_n")
-
-
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; what can't be read or has no id is skipped; a path that isn't there has no rows."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
+    """JSON lines of a log, a folder or a file with their ``_place``; what can't be read or has no id is skipped (broken_lines() has it)."""
     fields = T._parse_datatype_string(schema)
     with_bad = T.StructType([*fields.fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = log.read(spark, path, with_bad, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     return lines.where(F.col("_bad").isNull() & F.col("id").isNotNull()).drop("_bad")
 
 
+def _judged_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Every line that isn't empty with its place, and the reason why it is skipped, null for a good one."""
+    lines = log.read(spark, path, "value string", "text")
+    parsed = F.from_json("value", T._parse_datatype_string(schema + ", _bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    reason = F.when(F.col("x._bad").isNotNull() | F.col("x").isNull(), "no JSON").when(F.col("x.id").isNull(), "no id")
+    return lines.withColumn("x", parsed).select("value", "_place", F.when(F.trim("value") != "", reason).alias("reason"))
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, reason, value) of the lines that scans skip. Lines are counted from 1: those of the parts of a file that are read before
+    this one, which is a row for each part, and the rows of this one."""
+    rows = _judged_lines(spark, path, schema).select("_place.file", "_place.block", "_place.row", "reason", "value")
+    parts = rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")
+    parts = parts.select("file", "block", "first", before.alias("before"))
+    bad = rows.where("reason is not null").join(parts, ["file", "block"])
+    return bad.select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), "reason", "value")
+
+
+def line_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row: good lines, lines that are no JSON, lines without an id."""
+    reason = F.col("reason")
+    return _judged_lines(spark, path, schema).where("trim(value) <> ''").agg(F.count_if(reason.isNull()).alias("good"), F.count_if(reason == "no JSON").alias("no_json"), F.count_if(reason == "no id").alias("no_id"))
+
+
+def skipped(spark: SparkSession, path: str, schema: str) -> str | None:
+    """A warning with counts if a scan of the path skips lines."""
+    r = line_counts(spark, path, schema).first()
+    return f"{path}: skipped {r['no_json']} lines that are no JSON and {r['no_id']} without an id, kept {r['good']}" if r["no_json"] or r["no_id"] else None
+
+
 def scan_corpus(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    rows = read_lines(spark, path, CORPUS) if form == "json" else spark.read.schema(CORPUS).format(form).load(path)
-    return last_of_each(rows.select("id", "text", "abstract", "metadata"))
+    """The corpus, of each id the row that was written last."""
+    rows = read_lines(spark, path, CORPUS) if form == "json" else log.read(spark, path, CORPUS, form)
+    return log.latest(rows.select("id", "text", "abstract", "metadata", "_place"))
 
 
 def scan_queries(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
-    """Queries, with empty lists where a column is missing."""
-    rows = read_lines(spark, path, QUERIES) if form == "json" else spark.read.schema(QUERIES).format(form).load(path)
+    """Queries, with empty lists where a column is missing; of each id the row that was written last."""
+    rows = read_lines(spark, path, QUERIES) if form == "json" else log.read(spark, path, QUERIES, form)
     none = F.expr("cast(array() as array<string>)")
     lists = {"linked_articles": "linked articles", "relevant_articles": "relevant articles", "keywords": "keywords"}
-    return last_of_each(rows.select("id", "text", *(F.coalesce(F.col(f"`{old}`"), none).alias(new) for new, old in lists.items()), "metadata"))
+    return log.latest(rows.select("id", "text", *(F.coalesce(F.col(f"`{old}`"), none).alias(new) for new, old in lists.items()), "metadata", "_place"))
 
 
 def scan_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -88,9 +107,9 @@ def write_facts(facts: DataFrame, path: str) -> None:
     facts.write.mode("overwrite").partitionBy("lang", "year").parquet(path)
 
 
-def append_lines(df: DataFrame, path: str) -> None:
-    """JSON lines added to a folder; each task's file appears when the task is committed."""
-    df.write.mode("append").json(path)
+def append_lines(df: DataFrame, path: str, token: str | None = None) -> int:
+    """JSON lines added to a log as one append, see log.append()."""
+    return log.append(df, path, "json", token)
 
 
 def original_names(queries: DataFrame) -> DataFrame:
@@ -99,13 +118,38 @@ def original_names(queries: DataFrame) -> DataFrame:
 
 
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions so far; no folder means none, and a file that can't be read is left out with a warning in the log."""
-    read = spark.read.schema(PREDICTIONS).option("ignoreCorruptFiles", "true")
-    return read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], PREDICTIONS)
-
-
-def append_predictions(predictions: DataFrame, path: str) -> None:
-    predictions.select(*(f.name for f in T._parse_datatype_string(PREDICTIONS))).write.mode("append").parquet(path)
+    """Predictions so far; no folder means none, and a file that can't be read is left out (unreadable_files() has it)."""
+    return log.read(spark, path, PREDICTIONS, "parquet", ignoreCorruptFiles="true").drop("_place")
+
+
+def append_predictions(predictions: DataFrame, path: str, token: str | None = None) -> int:
+    return log.append(predictions.select(*(f.name for f in T._parse_datatype_string(PREDICTIONS))), path, "parquet", token)
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the Parquet files below ``path`` that scans leave out, so that what they held is judged, and paid for, once more.
+    Tasks read each file's last bytes only."""
+    if not log.exists(spark, path):
+        return spark.createDataFrame([], "file string, reason string")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            out = []
+            for file, size in zip(b["path"], b["length"], strict=True):
+                try:
+                    fs, local = pyarrow.fs.FileSystem.from_uri(file)
+                    with fs.open_input_file(local) as f:
+                        pq.ParquetFile(f)
+                except Exception as e:  # whatever is wrong with the file is its reason
+                    out.append((file, f"{type(e).__name__} at {size} bytes"))
+            yield pd.DataFrame(out, columns=["file", "reason"])
+
+    return found.mapInPandas(run, "file string, reason string")
 
 
 def append_outputs(predictions: DataFrame, path: str) -> None:
