@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import read_last_resort, read_reply
 from ..functions.lemmas import for_coverage, lemmatize_with
 from ..functions.vectors import ratio
+from ..sources.storage import stored
+from .calls import CHUNK, WIDTH, called, called_by_chunks, in_chunks, results, timed
 from .context import CORRECTION
 
-#: Messages -> the reply's text. Made on the driver, sent to the tasks; may raise.
+#: Messages -> the reply's text. Made on the driver, sent to the tasks, called from several threads of one; may raise. It gets those of the
+#: sampling parameters that it takes by name.
 Chat = Callable[[list[dict]], str]
 #: Attempts for a fact, seconds between them, and how a chat model is asked.
 ATTEMPTS, PAUSE, SAMPLING = 3, 1.0, {"temperature": 0.1, "top_p": 0.9, "timeout": 360}
-FIELDS = "answer string, reasoning string, raw string, attempts int, failed boolean"
+VERDICT = "id string, text string, keywords array<string>, prompt string, answer string, reasoning string, raw string, attempts int, failed boolean"
 
 
-def ask(chat: Chat, messages: list[dict], attempts: int = ATTEMPTS, pause: float = PAUSE) -> tuple:
-    """(answer, reasoning, raw, attempts, failed). A reply without both keys is answered with a correction; an error is tried again as it is."""
-    said, last = list(messages), ""
+def sampled(chat: Chat, sampling: dict) -> Chat:
+    """``chat`` with those of the sampling parameters that it takes by name."""
+    takes = inspect.signature(chat).parameters
+    anything = any(p.kind is p.VAR_KEYWORD for p in takes.values())
+    given = {k: v for k, v in sampling.items() if anything or k in takes}
+    return functools.partial(chat, **given) if given else chat
+
+
+def ask(chat: Chat, messages: list[dict], attempts: int = ATTEMPTS, pause: float = PAUSE, timeout: float | None = None) -> tuple:
+    """(answer, reasoning, raw, attempts, failed). A reply without both keys is answered with a correction; an error, or no reply in time, is
+    tried again as it is."""
+    said, last, call = list(messages), "", timed(chat, timeout)
     for n in range(1, attempts + 1):
         try:
-            last = chat(said).strip()
+            last = call(said).strip()
             found = read_reply(last)
         except Exception:  # any failure of the call counts as an attempt
             found = None
         else:
             if found is None:
-                said.append({"role": "system", "content": CORRECTION})
+                said = [*said, {"role": "system", "content": CORRECTION}]
         if found is not None:
             break
         if n < attempts:
@@ -46,20 +59,35 @@ def ask(chat: Chat, messages: list[dict], attempts: int = ATTEMPTS, pause: float
     return text(found["answer"]), text(found.get("reasoning", "")), json.dumps(found, ensure_ascii=False), n, False
 
 
-def verdicts(queries: DataFrame, chat: Chat, attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
-    """queries (id, text, keywords, messages) -> id, text, keywords, prompt, answer, reasoning, raw, attempts, failed.
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("id", "text", "keywords", F.element_at("messages", -1)["content"].alias("prompt"), F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def _verdict(chat: Chat, attempts: int, pause: float, sampling: dict) -> Callable[[dict], tuple]:
+    chat = sampled(chat, sampling)
+
+    def call(r: dict) -> tuple:
+        messages = [dict(role=m["role"], content=m["content"]) for m in r["messages"]]
+        return (r["id"], r["text"], None if r["keywords"] is None else list(r["keywords"]), r["prompt"], *ask(chat, messages, attempts, pause, sampling.get("timeout")))
+
+    return call
+
+
+def verdicts(queries: DataFrame, chat: Chat, attempts: int = ATTEMPTS, pause: float = PAUSE, sampling: dict = SAMPLING, width: int = WIDTH, rate: float | None = None) -> DataFrame:
+    """queries (id, text, keywords, messages) -> id, text, keywords, prompt, answer, reasoning, raw, attempts, failed, in the order of the replies.
 
-    A task that is run again calls again: store the result before anything else reads it.
+    Each task has ``width`` calls in flight. A task that is run again calls again: store the result before anything else reads it, or use
+    kept_verdicts().
     """
+    return called(_asked(queries), _verdict(chat, attempts, pause, sampling), VERDICT, width, rate)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [ask(chat, [dict(role=m["role"], content=m["content"]) for m in ms], attempts, pause) for ms in b["messages"]]
-            out = b[["id", "text", "keywords", "prompt"]].reset_index(drop=True)
-            yield out.join(pd.DataFrame(got, columns=[x.split()[0] for x in FIELDS.split(", ")]))
 
-    asked = queries.select("id", "text", "keywords", F.element_at("messages", -1)["content"].alias("prompt"), F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
-    return asked.mapInPandas(run, f"id string, text string, keywords array<string>, prompt string, {FIELDS}")
+def kept_verdicts(queries: DataFrame, chat: Chat, folder: str, attempts: int = ATTEMPTS, pause: float = PAUSE, sampling: dict = SAMPLING, width: int = WIDTH, rate: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The same, kept in ``folder`` chunk by chunk as they are done; returns what is there in the end."""
+    rows = stored(in_chunks(_asked(queries), chunk), "asked")
+    ledger = called_by_chunks(rows, _verdict(chat, attempts, pause, sampling), VERDICT, folder, width, rate)
+    ledger.write.format("noop").mode("overwrite").save()
+    return results(queries.sparkSession, folder, VERDICT)
 
 
 def coverage(keywords: Column | str, reasoning: Column | str, lang: str = "en") -> Column:

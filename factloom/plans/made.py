@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,32 +362,38 @@ def prompt_modes(spark, sf):
 
 
 def offline_chat(messages: list[dict]) -> str:
-    """Replies by the number in the fact: fenced at once; after a correction; never; with a brace that only the last resort can read."""
-    kind = int(re.search(r"fact (\d+)", messages[1]["content"])[1]) % 4
+    """Replies by the number in the fact: fenced at once; after a correction; never; with a brace that only the last resort can read. The
+    reasoning repeats the fact's first words."""
+    number, said = re.search(r"fact (\d+): (.*)", messages[1]["content"], re.DOTALL).groups()
+    said, kind = regex.findall(r"[\p{L}\p{N}_]+", said.removesuffix('"?').lower()), int(number) % 4
     corrected = any(m["content"] == context.CORRECTION for m in messages)
     if kind == 0:
-        return 'so:\n```json\n{"answer": "yes", "reasoning": "one two"}\n```'
+        return 'so:\n```json\n{"answer": "yes", "reasoning": "%s"}\n```' % " ".join(said[:6])
     if kind == 1:
-        return '{"answer": "no", "reasoning": "one"}' if corrected else "no idea"
-    return "no idea" if kind == 2 else '{"answer": "idk", "reasoning": "a {b} two"}'
+        return '{"answer": "no", "reasoning": "%s"}' % " ".join(said[:4]) if corrected else "no idea"
+    return "no idea" if kind == 2 else '{"answer": "idk", "reasoning": "a {b} %s"}' % " ".join(said[:5])
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    none, keys = F.expr("cast(array() as array<string>)"), F.array(F.lit("one"), F.lit("two"))
-    return _t(spark, sf, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("fact "), F.col("doc_id").cast("string")).alias("text"), keys.alias("keywords"), none.alias("linked_articles"), none.alias("relevant_articles"))
+    """Documents as facts, with some of their words as keywords."""
+    none, words = F.expr("cast(array() as array<string>)"), F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    fact = F.concat(F.lit("fact "), F.col("doc_id").cast("string"), F.lit(": "), F.col("text"))
+    return _t(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("id"), fact.alias("text"), F.array_distinct(F.slice(words, 4, 6)).alias("keywords"), none.alias("linked_articles"), none.alias("relevant_articles"))
 
 
-_REPLIES = """WITH d AS (SELECT doc_id, doc_id::VARCHAR AS id, doc_id % 4 AS k FROM documents), r AS (
+_REPLIES = r"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS id, text, doc_id % 4 AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), s AS (
   SELECT *, CASE k WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 3 THEN 'idk' END AS answer, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS attempts, k = 2 AS failed,
-    CASE k WHEN 0 THEN 'one two' WHEN 1 THEN 'one' WHEN 3 THEN 'a {b} two' END AS reasoning, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE WHEN 3 THEN 0.5::DOUBLE END AS coverage FROM d)
+    CASE k WHEN 0 THEN array_to_string(w[1:6], ' ') WHEN 1 THEN array_to_string(w[1:4], ' ') WHEN 3 THEN 'a {b} ' || array_to_string(w[1:5], ' ') END AS reasoning,
+    CASE k WHEN 0 THEN w[1:6] WHEN 1 THEN w[1:4] WHEN 3 THEN ['a', 'b'] || w[1:5] END AS said, list_filter(list_distinct(w[4:9]), lambda x: regexp_matches(x, '^\p{L}+$')) AS keys FROM d), r AS (
+  SELECT *, CASE WHEN k <> 2 AND len(w) > 3 THEN CASE WHEN len(keys) > 0 THEN len(list_intersect(keys, said)) / len(keys) ELSE 0.0 END END AS coverage FROM s)
 """
 
 
-@query(_REPLIES + "SELECT id, answer, reasoning, attempts, failed, coverage FROM r")
+@query(_REPLIES + "SELECT id, answer, reasoning, attempts, failed, round(coverage, 6) AS coverage FROM r")
 def verdicts_retried(spark, sf):
     """Replies that are right at once, after a correction, by the last resort, or never."""
     judged = runs.judge(_asked(spark, sf), None, offline_chat, runs.Evaluation(pause=0.0, allow_idk=True))
-    return judged.select("id", "answer", "reasoning", "attempts", "failed", "coverage")
+    return judged.select("id", "answer", "reasoning", "attempts", "failed", F.round("coverage", 6).alias("coverage"))
 
 
 _RESULTS = """SELECT 'm' AS model, round(avg((answer IS NOT DISTINCT FROM 'yes')::INT), 6) AS accuracy, round(coalesce(count(*) FILTER (answer = 'yes') / nullif(count(*) FILTER (answer IN ('yes', 'no')), 0), 0), 6) AS recall,
@@ -409,16 +416,17 @@ def evaluation_results(spark, sf):
     return _shown(spark.read.schema(schema).option("multiLine", "true").json(f"{folder}/results"))
 
 
-@query(_REPLIES + """SELECT 'output' AS kind, 'Is the following statement factually correct: "fact ' || id || '"?' AS fact, answer AS said, reasoning FROM r WHERE NOT failed
-UNION ALL SELECT 'failure', 'fact ' || id, 'Unable to parse JSON', NULL FROM r WHERE failed""")
+@query(_REPLIES + """SELECT 'output' AS kind, 'Is the following statement factually correct: "fact ' || id || ': ' || text || '"?' AS fact, answer AS said, reasoning, '{"answer": "' || answer || '", "reasoning": "' || reasoning || '"}' AS output FROM r WHERE NOT failed
+UNION ALL SELECT 'failure', 'fact ' || id || ': ' || text, 'Unable to parse JSON', NULL, NULL FROM r WHERE failed""")
 def evaluation_outputs(spark, sf):
     """What an evaluation writes beside its predictions: each usable reply with its prompt, and each fact without one."""
     folder = new_folder(spark, "evaluation")
     runs.run_evaluation(_asked(spark, sf), None, offline_chat, runs.Evaluation(pause=0.0, allow_idk=True), folder)
     outputs = spark.read.schema("prompt string, prediction string, reasoning string, output string").json(f"{folder}/outputs")
     failures = spark.read.schema("id string, fact string, error string").json(f"{folder}/failures")
-    rows = outputs.select(F.lit("output").alias("kind"), F.col("prompt").alias("fact"), F.col("prediction").alias("said"), "reasoning")
-    return rows.unionByName(failures.select(F.lit("failure").alias("kind"), "fact", F.col("error").alias("said"), F.lit(None).cast("string").alias("reasoning")))
+    rows = outputs.select(F.lit("output").alias("kind"), F.col("prompt").alias("fact"), F.col("prediction").alias("said"), "reasoning", "output")
+    none = F.lit(None).cast("string")
+    return rows.unionByName(failures.select(F.lit("failure").alias("kind"), "fact", F.col("error").alias("said"), none.alias("reasoning"), none.alias("output")))
 
 
 @query("""WITH r AS (SELECT d.doc_id, CASE quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS answer, CASE WHEN quality = 1 THEN 0.5 END AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.months import french_year_month, portuguese_month
+from ..operators.calls import CHUNK, WIDTH, results
 from ..operators.context import abstracts_of, article_text_of, messages
 from ..operators.dataset import corpus_entries, dated_facts, known_urls, mentions, new_queries, query_entries, url_registry
 from ..operators.retrieval import Encoder, retrieve
 from ..operators.metrics import evaluate
-from ..operators.verdict import ATTEMPTS, PAUSE, Chat, coverage, verdicts
+from ..operators.verdict import ATTEMPTS, PAUSE, SAMPLING, VERDICT, Chat, coverage, kept_verdicts, verdicts
 from ..sources.files import append_failures, append_outputs, append_predictions, nest_months, scan_predictions, write_results
 from ..sources.html import parse_facts, parse_index
-from ..sources.storage import stored
+from ..sources.storage import children, delete, qualified, stored
 from ..streaming.incremental import latest, remaining
 
 
@@ -34,6 +36,17 @@ class Evaluation:
     attempts: int = ATTEMPTS
     pause: float = PAUSE
     retry_failed: bool = False
+    no_think: bool = False
+    temperature: float = SAMPLING["temperature"]
+    top_p: float = SAMPLING["top_p"]
+    timeout: float = float(SAMPLING["timeout"])
+    max_threads: int = WIDTH
+    rate: float = 0.0
+    chunk: int = CHUNK
+
+    @property
+    def sampling(self) -> dict:
+        return {"temperature": self.temperature, "top_p": self.top_p, "timeout": self.timeout}
 
 
 def scrape(archives: DataFrame, pages: DataFrame) -> DataFrame:
@@ -92,28 +105,50 @@ def build(facts: DataFrame, articles: DataFrame, known: DataFrame | None = None,
     return corpus, queries if asked is None else new_queries(queries, asked, lang)
 
 
-def judge(queries: DataFrame, corpus: DataFrame, chat: Chat, options: Evaluation, encoder: Encoder | None = None) -> DataFrame:
-    """Predictions of the queries: context, messages, verdict, coverage. Store the result before reading it twice."""
+def asked_about(queries: DataFrame, corpus: DataFrame | None, options: Evaluation, encoder: Encoder | None = None) -> DataFrame:
+    """Queries with the messages that ask about them."""
     if options.use_fragments and options.mode == "relevant":
         found = retrieve(article_text_of(queries, corpus), encoder, options.splitter, options.top_k)
         asked = queries.join(found, "id")
     else:
         asked = abstracts_of(queries, corpus, options.mode)
-    asked = asked.withColumn("messages", messages("text", "contexts", options.mode, options.allow_idk))
-    return verdicts(asked, chat, options.attempts, options.pause).withColumn("coverage", F.when(~F.col("failed"), coverage("keywords", "reasoning", options.lang)))
+    return asked.withColumn("messages", messages("text", "contexts", options.mode, options.allow_idk, options.no_think))
+
+
+def _covered(judged: DataFrame, options: Evaluation) -> DataFrame:
+    return judged.withColumn("coverage", F.when(~F.col("failed"), coverage("keywords", "reasoning", options.lang)))
+
+
+def judge(queries: DataFrame, corpus: DataFrame, chat: Chat, options: Evaluation, encoder: Encoder | None = None) -> DataFrame:
+    """Predictions of the queries: context, messages, verdict, coverage. Store the result before reading it twice."""
+    asked = asked_about(queries, corpus, options, encoder)
+    return _covered(verdicts(asked, chat, options.attempts, options.pause, options.sampling, options.max_threads, options.rate or None), options)
+
+
+def _settle(spark: SparkSession, folder: str, run: str, options: Evaluation) -> None:
+    """Add what the finished chunks of a run hold to the logs, each once however often this is begun, and delete the run."""
+    path = f"{folder}/judged/{run}"
+    judged = _covered(results(spark, path, VERDICT), options)
+    append_outputs(judged, f"{folder}/outputs", run)
+    append_failures(judged, f"{folder}/failures", run)
+    append_predictions(judged, f"{folder}/predictions", run)
+    delete(spark, path)
 
 
 def run_evaluation(queries: DataFrame, corpus: DataFrame, chat: Chat, options: Evaluation, folder: str, encoder: Encoder | None = None) -> DataFrame:
-    """Judge what remains, add predictions, outputs and failures to ``folder``, and write and return the results over all queries."""
+    """Judge what remains, add predictions, outputs and failures to ``folder``, and write and return the results over all queries.
+
+    Verdicts are kept chunk by chunk. What an earlier run was broken off with is taken over first: at most one chunk a task is asked again."""
     spark, path, began = queries.sparkSession, f"{folder}/predictions", time.time()
+    for run in children(spark, f"{folder}/judged"):
+        _settle(spark, folder, run, options)
     todo = remaining(queries, scan_predictions(spark, path), options.retry_failed)
-    judged = stored(judge(todo, corpus, chat, options, encoder), "judged")  # read three times, called once
-    append_outputs(judged, f"{folder}/outputs")
-    append_failures(judged, f"{folder}/failures")
-    append_predictions(judged, path)  # last: what was broken off before is judged again
-    results = stored(evaluate(queries, latest(scan_predictions(spark, path)), options.model).withColumn("seconds", F.lit(time.time() - began)), "results")
-    write_results(results.drop("seconds"), f"{folder}/results")
-    return results
+    run, asked = f"run-{uuid.uuid4().hex}", asked_about(todo, corpus, options, encoder)
+    kept_verdicts(asked, chat, qualified(spark, f"{folder}/judged/{run}"), options.attempts, options.pause, options.sampling, options.max_threads, options.rate or None, options.chunk)
+    _settle(spark, folder, run, options)
+    found = stored(evaluate(queries, latest(scan_predictions(spark, path)), options.model).withColumn("seconds", F.lit(time.time() - began)), "results")
+    write_results(found.drop("seconds"), f"{folder}/results")
+    return found
 
 
 def report(results: DataFrame) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.months import month_number
 from . import log
+from .storage import exists
 
 FACT = "section string, text string, links array<string>, relevant_links array<string>"
 FACTS_JSON = f"map<string, map<string, array<struct<{FACT.replace(' string', ':string').replace(' array', ':array')}>>>>"
@@ -129,7 +130,7 @@ def append_predictions(predictions: DataFrame, path: str, token: str | None = No
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, reason) of the Parquet files below ``path`` that scans leave out, so that what they held is judged, and paid for, once more.
     Tasks read each file's last bytes only."""
-    if not log.exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "file string, reason string")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
 
@@ -152,14 +153,14 @@ def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
     return found.mapInPandas(run, "file string, reason string")
 
 
-def append_outputs(predictions: DataFrame, path: str) -> None:
+def append_outputs(predictions: DataFrame, path: str, token: str | None = None) -> int:
     """Prompt, answer, reasoning and the whole reply of each fact with a usable one."""
-    append_lines(predictions.where("not failed").select("prompt", F.col("answer").alias("prediction"), "reasoning", F.col("raw").alias("output")), path)
+    return append_lines(predictions.where("not failed").select("prompt", F.col("answer").alias("prediction"), "reasoning", F.col("raw").alias("output")), path, token)
 
 
-def append_failures(predictions: DataFrame, path: str) -> None:
+def append_failures(predictions: DataFrame, path: str, token: str | None = None) -> int:
     """The facts without a usable reply, with the reason."""
-    append_lines(predictions.where("failed").select("id", F.col("text").alias("fact"), F.lit("Unable to parse JSON").alias("error")), path)
+    return append_lines(predictions.where("failed").select("id", F.col("text").alias("fact"), F.lit("Unable to parse JSON").alias("error")), path, token)
 
 
 def write_results(metrics: DataFrame, path: str) -> None:

@@ -29,3 +29,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    fs, where = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI with its file system, a local one with an empty host."""
+    fs, where = _at(spark, path)
+    full = fs.makeQualified(where).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
