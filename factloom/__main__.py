@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans import runs
-from .sources import files
+from .sources import fetch, files
 from .sources.articles import fetched_articles, local_articles
 
 
@@ -25,11 +25,17 @@ def options() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="factloom")
     programs = top.add_subparsers(dest="program", required=True)
     p = programs.add_parser("scrape", help="archive pages and fact pages to facts")
-    for name, what in (("archives", "Parquet with lang, url, html"), ("pages", "Parquet with url, html"), ("output", "folder of the nested export")):
+    for name, what in (("archives", "Parquet with lang, url, html"), ("output", "folder of the nested export")):
         p.add_argument(f"--{name}", required=True, help=what)
+    source = p.add_mutually_exclusive_group(required=True)
+    source.add_argument("--pages", help="Parquet with url, html")
+    source.add_argument("--fetch", help="folder for lists of URLs: archives and pages are asked for over the network")
+    p.add_argument("--wait", type=float, default=fetch.PAUSE, help="seconds between two requests to a host")
     p = programs.add_parser("build", help="facts to a corpus and queries")
     p.add_argument("--facts", required=True, help="nested export")
     p.add_argument("--articles", help="Parquet with lang, title, text")
+    p.add_argument("--fetch", help="folder for lists of URLs: articles are asked for over the network, instead of --articles")
+    p.add_argument("--endpoint", default="https://{lang}.wikipedia.org/w/api.php")
     p.add_argument("--fetcher", help="module:function of (language, title), instead of --articles")
     p.add_argument("--corpus", required=True)
     p.add_argument("--queries", required=True)
@@ -62,7 +68,10 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> N
     spark = spark or SparkSession.builder.appName(f"factloom {a.program}").getOrCreate()
     if a.program == "scrape":
         archives = spark.read.parquet(a.archives)
-        facts = runs.scrape(archives, spark.read.parquet(a.pages))
+        archives, pages = runs.online(archives, a.fetch, pause=a.wait) if a.fetch else (archives, spark.read.parquet(a.pages))
+        for r in pages.where("html is null").take(20) if a.fetch else []:
+            print(f"{r['url']}: no page, {r['error']}", file=sys.stderr)
+        facts = runs.scrape(archives, pages)
         files.write_nested(runs.nested(archives, facts), a.output)
         print(f"facts: {runs.count_facts(facts).first()[0]}")
     elif a.program == "build":
@@ -73,6 +82,8 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> N
         urls = urls.join(runs.known_urls(known), "url", "left_anti")
         if a.fetcher:
             texts = fetched_articles(urls, named(a.fetcher))
+        elif a.fetch:
+            texts = fetch.online_articles(urls, a.fetch, a.endpoint).drop("error")
         else:
             texts = local_articles(urls, spark.read.parquet(a.articles)) if a.articles else urls.withColumn("text", F.lit(""))
         corpus, queries = runs.build(facts, texts, known, a.lang, asked, a.only)

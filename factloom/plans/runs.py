@@ -16,6 +16,7 @@ from ..operators.dataset import corpus_entries, dated_facts, known_urls, mention
 from ..operators.retrieval import Encoder, retrieve
 from ..operators.metrics import evaluate
 from ..operators.verdict import ATTEMPTS, PAUSE, SAMPLING, VERDICT, Chat, coverage, kept_verdicts, verdicts
+from ..sources.fetch import fetched_pages
 from ..sources.files import append_failures, append_outputs, append_predictions, nest_months, scan_predictions, write_results
 from ..sources.html import parse_facts, parse_index
 from ..sources.storage import children, delete, qualified, stored
@@ -59,6 +60,14 @@ def scrape(archives: DataFrame, pages: DataFrame) -> DataFrame:
     return facts.where("year is not null")
 
 
+def online(archives: DataFrame, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    """archives (lang, url) -> archives (lang, url, html) and pages (url, status, html, error) as the network has them: the archives first, then
+    every page they list as existing. ``folder`` keeps the lists of URLs; options are those of the data source."""
+    found = archives.select("lang", "url").join(fetched_pages(archives.select("url"), f"{folder}/archives", **options).select("url", "status", "html", "error"), "url")
+    index = parse_index(found).where("exists")
+    return found, fetched_pages(index.select("url"), f"{folder}/pages", **options)
+
+
 def _facts(archives: DataFrame, pages: DataFrame) -> DataFrame:
     index = parse_index(archives).where("exists")
     listed = index.join(pages.select("url", "html"), "url")

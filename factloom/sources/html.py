@@ -1,9 +1,10 @@
-"""Pages to facts: a small element tree over the standard parser, and rules for each language."""
+"""Pages to facts: flat pages over the standard parser, and rules for each language."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
@@ -21,51 +22,126 @@ SILENT = frozenset(("script", "style", "template"))
 UNTITLED = "(без заголовка)"
 
 
-@dataclass(eq=False)
+class Page:
+    """A page as flat arrays, filled in one pass: elements in the order in which they begin, with tag, parent, attributes, the number of the last
+    element inside and the span of the texts inside; and the texts with their owner.
+
+    What is inside an element is a span of both arrays, so questions are answered by scans and searches, however deep the markup is.
+    """
+
+    def __init__(self):
+        self.tag, self.parent, self.attrs, self.last, self.opens, self.closes = ["[document]"], [-1], [{}], [0], [0], [0]
+        self.text, self.owner = [], []
+        self.by_tag: dict[str, list[int]] = {}
+        self.spans: dict[tuple[str, ...], tuple[list[int], list[int]]] = {}
+        self.errors: list[str] = []
+
+    def inside(self, i: int, tags: tuple[str, ...]) -> list[int]:
+        """Elements with one of the tags inside element i, in order."""
+        found = []
+        for t in tags:
+            row = self.by_tag.get(t, [])
+            found += row[bisect_right(row, i) : bisect_right(row, self.last[i])]
+        return found if len(tags) == 1 else sorted(found)
+
+    def outermost(self, i: int, tags: tuple[str, ...]) -> list[int]:
+        """Those of inside() that aren't inside another one."""
+        out = []
+        for x in self.inside(i, tags):
+            if not out or x > self.last[out[-1]]:
+                out.append(x)
+        return out
+
+    def within(self, i: int, tags: tuple[str, ...]) -> bool:
+        """Whether element i or one around it has one of the tags."""
+        if tags not in self.spans:
+            starts = self.outermost(0, tags)
+            self.spans[tags] = starts, [self.last[x] for x in starts]
+        starts, ends = self.spans[tags]
+        at = bisect_right(starts, i) - 1
+        return at >= 0 and i <= ends[at]
+
+    def resolved(self, base: str, href: str) -> str | None:
+        """The URL of a link; one that is none goes to ``errors``."""
+        try:
+            return unquote(urljoin(base, href))
+        except ValueError as e:
+            self.errors.append(f"{href}: {e}")
+            return None
+
+
 class Element:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    parent: Element | None = None
-    inside: list = field(default_factory=list)
+    """An element of a page: its number there."""
+
+    __slots__ = ("at", "page")
+
+    def __init__(self, page: Page, at: int):
+        self.page, self.at = page, at
+
+    def __eq__(self, other):
+        return self.at == other.at and self.page is other.page
+
+    __hash__ = None
+
+    @property
+    def tag(self) -> str:
+        return self.page.tag[self.at]
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        return self.page.attrs[self.at]
 
     @property
     def tokens(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
     def all(self) -> Iterator[Element]:
-        """Elements below, in the order of the page."""
-        for x in self.inside:
-            if isinstance(x, Element):
-                yield x
-                yield from x.all()
+        """Elements inside, in the order of the page."""
+        return (Element(self.page, i) for i in range(self.at + 1, self.page.last[self.at] + 1))
 
     def every(self, *tags: str) -> list[Element]:
-        return [x for x in self.all() if x.tag in tags]
+        return [Element(self.page, i) for i in self.page.inside(self.at, tags)]
 
     def first(self, *tags: str) -> Element | None:
-        return next((x for x in self.all() if x.tag in tags), None)
+        rows = [self.page.by_tag.get(t, []) for t in tags]
+        found = [row[k] for row in rows if (k := bisect_right(row, self.at)) < len(row)]
+        return Element(self.page, min(found)) if found and min(found) <= self.page.last[self.at] else None
+
+    def children(self) -> Iterator[Element]:
+        i, end = self.at + 1, self.page.last[self.at]
+        while i <= end:
+            yield Element(self.page, i)
+            i = self.page.last[i] + 1
 
     def after(self) -> Iterator[Element]:
         """Elements that follow under the same parent."""
-        row = self.parent.inside if self.parent else []
-        at = next((i for i, x in enumerate(row) if x is self), len(row))
-        return (x for x in row[at + 1 :] if isinstance(x, Element))
+        p = self.page.parent[self.at]
+        i, end = self.page.last[self.at] + 1, self.page.last[p] if p >= 0 else -1
+        while i <= end:
+            yield Element(self.page, i)
+            i = self.page.last[i] + 1
 
     def above(self, *tags: str) -> bool:
-        e = self.parent
-        while e is not None:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
+        """Whether an element around this one has one of the tags."""
+        p = self.page.parent[self.at]
+        return p >= 0 and self.page.within(p, tags)
 
     def strings(self, without: tuple[str, ...] = ()) -> Iterator[str]:
-        for x in self.inside:
-            if isinstance(x, str):
-                if self.tag not in SILENT:
-                    yield x
-            elif x.tag not in without:
-                yield from x.strings(without)
+        """Texts inside, but for those in elements with one of the tags ``without``."""
+        page, t = self.page, self.page.opens[self.at]
+        for x in [*(page.outermost(self.at, without) if without else []), None]:
+            end = page.closes[self.at] if x is None else page.opens[x]
+            yield from (page.text[k] for k in range(t, end) if page.tag[page.owner[k]] not in SILENT)
+            t = end if x is None else page.closes[x]
+
+    def parts(self) -> Iterator[Element | str]:
+        """Texts and elements right inside, in order."""
+        page, t = self.page, self.page.opens[self.at]
+        for e in self.children():
+            yield from page.text[t : page.opens[e.at]]
+            yield e
+            t = page.closes[e.at]
+        yield from page.text[t : page.closes[self.at]]
 
     def text(self, between: str = "", without: tuple[str, ...] = ()) -> str:
         return between.join(s for x in self.strings(without) if (s := x.strip()))
@@ -74,13 +150,20 @@ class Element:
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("[document]")
+        self.page, self.open, self.count = Page(), [0], {}
 
     def handle_starttag(self, tag, attrs):
-        e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.inside.append(e)
+        page, i = self.page, len(self.page.tag)
+        page.tag.append(tag)
+        page.parent.append(self.open[-1])
+        page.attrs.append({k: v or "" for k, v in attrs})
+        page.last.append(i)
+        page.opens.append(len(page.text))
+        page.closes.append(len(page.text))
+        page.by_tag.setdefault(tag, []).append(i)
         if tag not in VOID:
-            self.at = e
+            self.open.append(i)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -89,21 +172,31 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         # what was left open inside ends with it; an end without a start is nothing
-        e = self.at
-        while e is not None and e.tag != tag:
-            e = e.parent
-        if e is not None and e.parent is not None:
-            self.at = e.parent
+        while self.count.get(tag) and self._ended() != tag:
+            pass
+
+    def _ended(self) -> str:
+        page, i = self.page, self.open.pop()
+        page.last[i], page.closes[i] = len(page.tag) - 1, len(page.text)
+        if i:
+            self.count[page.tag[i]] -= 1
+        return page.tag[i]
 
     def handle_data(self, data):
-        self.at.inside.append(data)
+        self.page.text.append(data)
+        self.page.owner.append(self.open[-1])
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._ended()
 
 
 def read(html: str) -> Element:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    return reader.root
+    return Element(reader.page, 0)
 
 
 def _year(text: str) -> bool:
@@ -121,8 +214,8 @@ class Fact:
 
 def _fact(e: Element, url: str, section: str | None, without: tuple[str, ...] = ()) -> Fact:
     anchors = [a for a in e.every("a") if a.attrs.get("href", "").startswith("/wiki/") and not (without and a.above(*without))]
-    target = lambda a: unquote(urljoin(url, a.attrs["href"]))
-    return Fact(section, e.text(" ", without), [target(a) for a in anchors], [target(a) for a in anchors if a.above("b")])
+    links = [(u, a.above("b")) for a in anchors if (u := e.page.resolved(url, a.attrs["href"])) is not None]
+    return Fact(section, e.text(" ", without), [u for u, _ in links], [u for u, bold in links if bold])
 
 
 @dataclass(frozen=True)
@@ -189,7 +282,7 @@ def _german(page: Element, url: str) -> Iterator[Fact]:
         p = card.first("p")
         if p is not None:  # a card without a paragraph has no fact
             f = _fact(p, url, "".join(date.strings()).strip() if date else "None")
-            parts = [x.strip() if isinstance(x, str) else x.text(" ") for x in p.inside]
+            parts = [x.strip() if isinstance(x, str) else x.text(" ") for x in p.parts()]
             yield Fact(f.section, " ".join(parts), f.links, None)
 
 
@@ -246,7 +339,7 @@ def _russian_index(page: Element) -> Iterator[Link]:
         text = "".join(bold.strings()).strip() if bold else ""
         return text[:4] if _year(text[:4]) and text[4:5].isspace() and text[5:8] == "год" and (text[8:9] == ":" or text[8:9].isspace()) else None
 
-    own = lambda e, tag: [x for x in e.inside if isinstance(x, Element) and x.tag == tag]
+    own = lambda e, tag: [x for x in e.children() if x.tag == tag]
     for ul in box.every("ul") if box else []:
         if all(year_of(li) for li in own(ul, "li")):
             for li in own(ul, "li"):
@@ -288,20 +381,54 @@ def _french_index(page: Element) -> Iterator[Link]:
 INDEX_RULES = {"en": _english_index, "ru": _russian_index, "de": _german_index, "pt": _portuguese_index, "fr": _french_index}
 FACT_SCHEMA = "lang string, url string, year string, pos int, section string, text string, links array<string>, relevant_links array<string>, note string"
 INDEX_SCHEMA = "lang string, pos int, year string, month string, url string, exists boolean"
+ERROR_SCHEMA = "lang string, url string, error string"
 
 
-def parse_facts(pages: DataFrame) -> DataFrame:
-    """pages (lang, url, year, html) -> facts in page order. The page is parsed once in Python; titles, dates and clean-up are expressions."""
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _rows_of_pages(pages: DataFrame, rows_of: Callable, schema: str) -> DataFrame:
+    """The rows that ``rows_of`` gives for each page, and a row for each thing that went wrong, with its ``error``; a page that can't be read
+    at all has one such row, and no other page is touched by it."""
+    names = [*_names(schema), "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            out = []
             for p in b.itertuples():
-                for i, f in enumerate(RULES[p.lang](read(p.html), p.url) if p.lang in RULES else []):
-                    rows.append((p.lang, p.url, p.year, i, f.section, f.text, f.links, f.relevant, f.note))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FACT_SCHEMA.split(", ")])
+                try:
+                    page = read(p.html)
+                    out += [(*r, None) for r in rows_of(p, page)]
+                    wrong = page.page.errors
+                except Exception as e:  # whatever it is, it is this page's
+                    wrong = [f"{type(e).__name__}: {e}"]
+                out += [(*(getattr(p, n) if n in ("lang", "url") else None for n in names[:-1]), x) for x in wrong]
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return pages.mapInPandas(run, schema + ", error string")
+
+
+def _fact_rows(p, page: Element) -> Iterator[tuple]:
+    for i, f in enumerate(RULES[p.lang](page, p.url) if p.lang in RULES else []):
+        yield p.lang, p.url, p.year, i, f.section, f.text, f.links, f.relevant, f.note
+
 
-    facts = pages.select("lang", "url", "year", "html").mapInPandas(run, FACT_SCHEMA)
+def _index_rows(p, page: Element) -> Iterator[tuple]:
+    found = list(INDEX_RULES[p.lang](page) if p.lang in INDEX_RULES else [])
+    if p.lang in ("pt", "fr"):
+        found = list({x.year: x for x in found}.values())
+    for i, x in enumerate(found):
+        try:
+            yield p.lang, i, x.year, x.month, urljoin(p.url, x.href), x.exists
+        except ValueError as e:
+            page.page.errors.append(f"{x.href}: {e}")
+
+
+def parse_facts(pages: DataFrame) -> DataFrame:
+    """pages (lang, url, year, html) -> facts in page order. The page is parsed once in Python; titles, dates and clean-up are expressions.
+    Links whose URL can't be made, and pages that can't be read, are left out: page_errors() has them."""
+    facts = _rows_of_pages(pages.select("lang", "url", "year", "html"), _fact_rows, FACT_SCHEMA).where("error is null")
     lang = F.col("lang")
     section: Column = F.when(lang == "pt", portuguese_section(F.col("section"), F.col("year"))).when(lang == "fr", F.coalesce(french_section_date(F.col("note")), "year")).otherwise(F.col("section"))
     text = F.when(lang == "fr", nonbreaking_to_space("text")).when(lang == "ru", normalize_text("text")).otherwise(F.col("text"))
@@ -310,25 +437,27 @@ def parse_facts(pages: DataFrame) -> DataFrame:
 
 def parse_index(pages: DataFrame) -> DataFrame:
     """pages (lang, url, html) of archives -> the pages they link to, in their order; a year's later entry wins for year pages."""
+    return _rows_of_pages(pages.select("lang", "url", "html"), _index_rows, INDEX_SCHEMA).where("error is null").drop("error")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p in b.itertuples():
-                found = list(INDEX_RULES[p.lang](read(p.html)) if p.lang in INDEX_RULES else [])
-                if p.lang in ("pt", "fr"):
-                    found = list({x.year: x for x in found}.values())
-                rows += [(p.lang, i, x.year, x.month, urljoin(p.url, x.href), x.exists) for i, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX_SCHEMA.split(", ")])
 
-    return pages.select("lang", "url", "html").mapInPandas(run, INDEX_SCHEMA)
+def page_errors(pages: DataFrame, index: bool = False) -> DataFrame:
+    """(lang, url, error): what parse_facts(), or parse_index(), leaves out of pages (lang, url, html[, year])."""
+    rows = pages.select("lang", "url", F.col("year") if "year" in pages.columns else F.lit(None).cast("string").alias("year"), "html")
+    found = _rows_of_pages(rows, _index_rows if index else _fact_rows, INDEX_SCHEMA if index else FACT_SCHEMA)
+    return found.where("error is not null").select(*_names(ERROR_SCHEMA))
 
 
 def page_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, text): the page's strings, stripped and joined by spaces."""
+    """(key, text): the page's strings, stripped and joined by spaces; null where the page can't be read."""
+
+    def text(html: str) -> str | None:
+        try:
+            return read(html).text(" ")
+        except Exception:  # a page's markup must not end the job
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "text": [read(h).text(" ") for h in b["html"]]})
+            yield pd.DataFrame({key: b[key], "text": [text(h) for h in b["html"]]})
 
     return pages.select(key, "html").mapInPandas(run, f"{key} long, text string")

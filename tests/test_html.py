@@ -90,3 +90,98 @@ def test_scrape_end_to_end(spark):
 def test_page_text_leaves_scripts_out(spark):
     df = spark.createDataFrame([(1, "<p> a <b>b</b><br>c<script>x</script></p>")], "page_id long, html string")
     assert page_text(df).first()["text"] == "a b c"
+
+
+def test_deep_markup_and_bad_links_give_rows(spark):
+    from factloom.sources.html import page_errors
+
+    deep, item = 100_000, '<div class="mw-heading mw-heading3"><h3>s</h3></div><ul><li>0</li><li>{}</li></ul>'
+    shape = "lang string, url string, year string, html string"
+    nested = "<div>" * deep + "deep" + "</b></div>" * deep
+    rows = [
+        ("en", P, "2024", item.format(nested + '<a href="/wiki/A">a</a>')), ("en", P + "2", "2024", "<div>" * deep + item.format("open")),
+        ("en", "https://[x/", "2024", item.format('<a href="/wiki/B">b</a>')), ("fr", P, "2024", '<div class="mw-content-ltr mw-parser-output"><ul><li>' + "<i>" * deep + "tief"), ("en", P, "2024", None),
+    ]
+    pages = spark.createDataFrame(rows, shape)
+    assert sorted((f["text"], tuple(f["links"])) for f in parse_facts(pages).collect()) == [("b", ()), ("deep a", ("https://en.wikipedia.org/wiki/A",)), ("open", ()), ("tief", ())]
+    assert [(r["url"], r["error"].split(":")[0]) for r in page_errors(pages).collect()] == [("https://[x/", "/wiki/B")]
+    index = INDEX["en"][0].replace("</table>", '<tr><th>2023</th><td><a href="//[bad">May</a></td></tr></table>')
+    archives = spark.createDataFrame([("en", P, "2024", index), ("en", P, "2024", "<table>" * deep)], shape)
+    assert parse_index(archives).count() == parse_index(spark.createDataFrame([("en", P, "2024", INDEX["en"][0])], shape)).count()
+    assert [r["error"].split(":")[0] for r in page_errors(archives, index=True).collect()] == ["//[bad"]
+    assert page_text(spark.createDataFrame([(1, "<p>" * deep + "x <b>y"), (2, None)], "page_id long, html string")).orderBy("page_id").collect()[0]["text"] == "x y"
+
+
+class Tree:
+    """Pages as nested lists, and the questions put to them by walking: what the flat page has to agree with."""
+
+    def __init__(self, tag, attrs=None, parent=None):
+        self.tag, self.attrs, self.parent, self.inside = tag, attrs or {}, parent, []
+
+    def all(self):
+        for x in self.inside:
+            if isinstance(x, Tree):
+                yield x
+                yield from x.all()
+
+    def strings(self, without=()):
+        for x in self.inside:
+            if isinstance(x, str):
+                if self.tag not in ("script", "style", "template"):
+                    yield x
+            elif x.tag not in without:
+                yield from x.strings(without)
+
+
+def test_flat_pages_agree_with_a_tree():
+    import random
+    from html.parser import HTMLParser
+
+    void = "area base br col embed hr img input link meta param source track wbr".split()
+
+    class Nested(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = self.at = Tree("[document]")
+
+        def handle_starttag(self, tag, attrs):
+            e = Tree(tag, dict(attrs), self.at)
+            self.at.inside.append(e)
+            self.at = self.at if tag in void else e
+
+        def handle_endtag(self, tag):
+            e = self.at
+            while e is not None and e.tag != tag:
+                e = e.parent
+            self.at = e.parent if e is not None else self.at
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in void:
+                self.handle_endtag(tag)
+
+        def handle_data(self, data):
+            self.at.inside.append(data)
+
+    r = random.Random(8)
+    for _ in range(150):
+        html = "".join(r.choice(["<b>", "</b>", "<ul>", "</ul>", "<li>", "</li>", "<i/>", "<br>", "<dl>", "</dl>", "<!-- c -->", "<script>x", "</script>", " t ", "u&amp;v", "w"]) for _ in range(r.randint(0, 60)))
+        tree = Nested()
+        tree.feed(html)
+        tree.close()
+        flat = read(html)
+        pairs = [(flat, tree.root), *zip(flat.all(), tree.root.all(), strict=True)]
+        for a, b in pairs:
+            assert a.tag == b.tag and [x.tag for x in a.all()] == [x.tag for x in b.all()]
+            for without in ((), ("dl",), ("b", "li")):
+                assert list(a.strings(without)) == list(b.strings(without))
+            assert [x if isinstance(x, str) else x.tag for x in a.parts()] == [x if isinstance(x, str) else x.tag for x in b.inside]
+            up, p = set(), b.parent
+            while p is not None:
+                up.add(p.tag)
+                p = p.parent
+            assert [a.above(t) for t in ("b", "li", "ul")] == [t in up for t in ("b", "li", "ul")] and a.above("b", "dl") == bool(up & {"b", "dl"})
+            row = [x for x in (b.parent.inside if b.parent else []) if isinstance(x, Tree)]
+            assert [x.tag for x in a.after()] == [x.tag for x in row[next((i for i, x in enumerate(row) if x is b), 0) + 1 :] if b.parent]
+            first = next((x for x in b.all() if x.tag in ("li", "b")), None)
+            assert (a.first("li", "b") is None) == (first is None) and [x.tag for x in a.every("b", "li")] == [x.tag for x in b.all() if x.tag in ("b", "li")]
