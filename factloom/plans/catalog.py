@@ -204,11 +204,24 @@ def page_url_parts(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.regexp_extract(u, r"^(https?)://", 1).alias("scheme"), F.regexp_extract(u, r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract(u, r"^https?://[^/]+(/.*)$", 1).alias("path"), F.replace(text.percent_decode(u), F.lit("_"), F.lit(" ")).alias("spoken"))
 
 
-@query()
+@query(r"""
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'gs'), '</?[a-zA-Z][^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '^[\s\x{a0}\x{85}\x{2028}\x{2029}\x{3000}\x{2000}-\x{200a}\x1c-\x1f]+|[\s\x{a0}\x{85}\x{2028}\x{2029}\x{3000}\x{2000}-\x{200a}\x1c-\x1f]+$', '', 'g')), lambda x: x <> ''), ' ') AS text FROM pages""")
 def page_text(spark, sf):
     return html.page_text(_t(spark, sf, "pages", "page_id", "html"))
 
 
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' ELSE 'https://en.wikipedia.org/wiki/' || page_id END AS links, CASE page_id % 4 WHEN 0 THEN 1 ELSE 0 END AS errors FROM pages")
+def page_failures(spark, sf):
+    """Pages nested 3000 deep, every fourth of them at a URL that is none: facts of all, and a row for each link that could not be made."""
+    n = F.col("page_id").cast("string")
+    body = F.concat(F.lit('<div class="mw-heading mw-heading3"><h3>s</h3></div><ul><li>0</li><li>' + "<div>" * 3000), F.lit('<a href="/wiki/'), n, F.lit('">'), n, F.lit("</a>"))
+    url = F.concat(F.when(F.col("page_id") % 4 == 0, "https://[").otherwise("https://en.wikipedia.org/wiki/x"), n)
+    made = _t(spark, sf, "pages", "page_id").select(F.lit("en").alias("lang"), url.alias("url"), F.lit("2024").alias("year"), body.alias("html"))
+    wrong = html.page_errors(made).groupBy("url").agg(F.count(F.lit(1)).alias("errors"))
+    facts = html.parse_facts(made).select("url", F.col("text").cast("long").alias("page_id"), F.array_join("links", " ").alias("links"))
+    return facts.join(wrong, "url", "left").select("page_id", "links", F.coalesce("errors", F.lit(0)).cast("int").alias("errors"))
+
+
 @query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
 def exact_duplicates(spark, sf):
     return _t(spark, sf, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
