@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,3 +26,24 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "n") -> Da
     # the upper bits of _at are the partition, the lower 33 the place in it
     out = placed.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     return out.drop("_part", "_at", "_before")
+
+
+def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str = "sum") -> DataFrame:
+    """The sum of a long column up to each row in the given order, without sending all rows through one task: rows are range-sorted and stored
+    with the sums within their partition; a partition adds what those before it come to, one row each."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for b in batches:
+            sums = so_far + np.cumsum(b.column(value).to_numpy(zero_copy_only=False))
+            so_far = int(sums[-1]) if len(sums) else so_far
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=[*b.schema.names, name])
+
+    from pyspark.sql.types import LongType, StructType
+
+    summed = placed.mapInArrow(add, StructType([*df.schema.fields]).add(name, LongType()))
+    summed = stored(summed.withColumn("_part", F.spark_partition_id()), "sums")
+    totals = summed.groupBy("_part").agg(F.sum(value).alias("_total"))
+    before = totals.select("_part", (F.sum("_total").over(W.orderBy("_part")) - F.col("_total")).alias("_before"))
+    return summed.join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

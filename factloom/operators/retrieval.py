@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fragments
+from ..functions.text import fragments, strip
 from ..functions.vectors import cosine
+from ..sources.storage import stored
+from .numbering import number_rows, running_sum
 
 #: Texts -> one vector for each; made once for each worker.
 Encoder = Callable[[list[str]], np.ndarray]
@@ -71,13 +73,62 @@ def top_by_group(scored: DataFrame, group: str, score: str, tie: str, k: int) ->
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def encoded(texts: DataFrame, text: str, encoder: Encoder) -> DataFrame:
+    """(name, vector) of the distinct values of a text column, each encoded once and stored; ``name`` is the text's SHA-256."""
+    rows = texts.select(F.col(text).alias("_text")).groupBy(F.sha2("_text", 256).alias("name")).agg(F.first("_text").alias("_text"))
+    return stored(embedded(rows, "_text", encoder).drop("_text"), "vectors")
+
+
+def _nearest(scored: DataFrame, key: str, place: list[str], k: int) -> DataFrame:
+    best = top_by_group(scored.select(key, F.struct(*place).alias("place"), "fragment", "score"), key, "score", "place", k)
+    return best.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "fragment"))), lambda x: x["fragment"]).alias("contexts"))
+
+
 def retrieve(queries: DataFrame, encoder: Encoder | None = None, splitter: str = "sentence", k: int = 5, key: str = "id") -> DataFrame:
     """queries (key, text, article_text) -> (key, contexts): the k fragments of each query's own text nearest to it, best first."""
+    links = queries.select(key, F.lit(0).alias("place"), F.col(key).alias("article"))
+    return retrieve_linked(queries.select(key, "text"), links, queries.select(F.col(key).alias("article"), F.col("article_text").alias("text")), encoder, splitter, k, key)
+
+
+def retrieve_linked(queries: DataFrame, links: DataFrame, articles: DataFrame, encoder: Encoder | None = None, splitter: str = "sentence", k: int = 5, key: str = "id") -> DataFrame:
+    """queries (key, text), links (key, place, article) and articles (article, text) -> (key, contexts): of the fragments of a query's articles,
+    taken as one text in the order of their places, the k nearest to it, best first; ties go to the earlier fragment.
+
+    Articles are split one by one, and each distinct fragment is encoded once; no query's articles are put together. Only where one article's
+    text ends within a fragment is that piece joined with the beginning of the query's next article, or of several if they have no end of a
+    fragment at all. Each task keeps k fragments of a query, and these are merged by query. Articles that are not there are left out.
+    """
     encoder = encoder or hashed_words()
-    parts = queries.select(key, F.posexplode(fragments("article_text", splitter)).alias("pos", "fragment"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    open_end = text.rlike(r"(^|[^.!?\s])\s*$") if splitter == "sentence" else ~text.rlike(r"\n\n$")
+    white = text.rlike(r"^\s*$")
+    split = articles.select("article", fragments(text, splitter).alias("parts"), open_end.alias("open"), F.regexp_extract(text, r"^\s*", 0).alias("lead"), F.when(white, "").otherwise(F.regexp_extract(text, r"\s*$", 0)).alias("tail"))
+    # an article without a fragment is an empty one, through which an open end goes on
+    split = stored(split.withColumn("parts", F.when(F.size("parts") == 0, F.array(F.lit(""))).otherwise(F.col("parts"))), "fragments")
+    ends = split.select("article", "open", "lead", "tail", F.size("parts").alias("n"), F.get("parts", F.lit(0)).alias("first"), F.element_at("parts", -1).alias("final"))
+
+    # which articles of a query run into the next one: only their ends are looked at
+    pairs = number_rows(links.join(ends.select("article", "open", "n"), "article"), [key, "place"], "at")
+    before = pairs.select((F.col("at") + 1).alias("at"), F.col(key).alias("key_before"), F.col("open").alias("open_before"))
+    pairs = pairs.join(before, "at", "left").withColumn("follows", F.coalesce((F.col("key_before") == F.col(key)) & F.col("open_before"), F.lit(False)))
+    pairs = stored(pairs.select(key, "article", "at", "n", "open", "follows"), "pairs")
+    starts = F.when(F.col("n") == 1, F.array(F.struct(F.lit(0).alias("half"), (~F.col("follows")).alias("new")))).otherwise(F.array(F.struct(F.lit(0).alias("half"), (~F.col("follows")).alias("new")), F.struct(F.lit(1).alias("half"), F.lit(True).alias("new"))))
+    pieces = pairs.select(key, "article", "at", F.explode(starts).alias("x")).select(key, "article", "at", "x.half", F.col("x.new").cast("long").alias("new"))
+    chained = running_sum(pieces, ["at", "half"], "new", "chain")
+    chained = stored(chained.join(chained.groupBy("chain").agg(F.count(F.lit(1)).alias("links")).where("links > 1"), "chain"), "chains")
+    # the first article of a chain gives its last piece, the others their first
+    whole = F.when(F.col("n") == 1, F.concat("lead", "first", "tail")).when(F.col("half") == 0, F.concat("lead", "first")).otherwise(F.concat("final", "tail"))
+    joined = chained.join(ends, "article").groupBy(key, "chain").agg(F.sort_array(F.collect_list(F.struct("at", "half", whole.alias("t")))).alias("x"))
+    first = F.get("x", F.lit(0))
+    at_first = joined.select(key, first["at"].alias("at"), strip(F.array_join(F.transform("x", lambda p: p["t"]), " ")).alias("fragment"), first["half"].alias("half")).where("fragment <> ''")
+    merged = stored(at_first.join(pairs.select("at", "n"), "at").select(key, "at", F.when(F.col("half") == 0, 0).otherwise(F.col("n") - 1).alias("pos"), "fragment"), "merged")
+
+    taken = chained.groupBy("at").agg(F.max(F.col("half") == 0).alias("first_taken"), F.max(F.col("half") == 1).alias("last_taken"))
+    parts = split.select("article", F.posexplode("parts").alias("pos", "fragment")).where("fragment <> ''").withColumn("name", F.sha2("fragment", 256))
+    vectors = encoded(parts.select("fragment").unionByName(merged.select("fragment")), "fragment", encoder)
     facts = embedded(queries.select(key, "text"), "text", encoder, "fact_vector").drop("text")
-    scored = embedded(parts, "fragment", encoder).join(facts, key).withColumn("score", cosine("vector", "fact_vector"))
-    best = top_by_group(scored.select(key, "pos", "fragment", "score"), key, "score", "pos", k)
-    lists = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "fragment"))).alias("x"))
-    found = queries.select(key).join(lists, key, "left")
-    return found.select(key, F.coalesce(F.transform("x", lambda x: x["fragment"]), F.expr("cast(array() as array<string>)")).alias("contexts"))
+    inner = pairs.join(taken, "at", "left").join(parts, "article").where(~(F.coalesce("first_taken", F.lit(False)) & (F.col("pos") == 0)) & ~(F.coalesce("last_taken", F.lit(False)) & (F.col("pos") == F.col("n") - 1)))
+    rows = inner.select(key, "at", "pos", "fragment", "name").unionByName(merged.withColumn("name", F.sha2("fragment", 256)))
+    scored = rows.join(vectors, "name").join(facts, key).withColumn("score", cosine("vector", "fact_vector"))
+    found = queries.select(key).join(_nearest(scored, key, ["at", "pos"], k), key, "left")
+    return found.select(key, F.coalesce("contexts", F.expr("cast(array() as array<string>)")).alias("contexts"))

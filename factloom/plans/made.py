@@ -306,11 +306,11 @@ def fragment_retrieval(spark, sf):
     """For each item the five sentences of its documents that are nearest to it."""
     items = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     found = QUERIES["relevant_documents"](spark, sf).select("item_id", F.explode(F.transform(F.split("doc_ids", " "), lambda x: x.cast("long"))).alias("doc_id"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), " ")
-    joined = found.join(_t(spark, sf, "documents", "doc_id", "text"), "doc_id").groupBy("item_id").agg(whole.alias("article_text"))
-    q = joined.join(items, "item_id").select(F.col("item_id").cast("string").alias("id"), F.col("item").alias("text"), "article_text")
-    best = retrieval.retrieve(q, _letters, k=5)
-    return best.select(F.col("id").cast("long").alias("item_id"), F.posexplode("contexts").alias("rank", "fragment")).withColumn("rank", F.col("rank").cast("long"))
+    links = found.select("item_id", F.col("doc_id").alias("place"), F.col("doc_id").alias("article"))
+    held = _t(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "article").join(links.select("article").distinct(), "article")
+    asked = items.join(found.select("item_id").distinct(), "item_id", "left_semi").withColumnRenamed("item", "text")
+    best = retrieval.retrieve_linked(asked, links, held, _letters, k=5, key="item_id")
+    return best.select("item_id", F.posexplode("contexts").alias("rank", "fragment")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(r"""SELECT item_id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|'), '') AS sentences FROM benchmark""")

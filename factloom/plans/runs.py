@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.months import french_year_month, portuguese_month
 from ..operators.calls import CHUNK, WIDTH, results
-from ..operators.context import abstracts_of, article_text_of, messages
+from ..operators.context import abstracts_of, messages
 from ..operators.dataset import corpus_entries, dated_facts, known_urls, mentions, new_queries, query_entries, url_registry
-from ..operators.retrieval import Encoder, retrieve
+from ..operators.retrieval import Encoder, retrieve_linked
 from ..operators.metrics import evaluate
 from ..operators.verdict import ATTEMPTS, PAUSE, SAMPLING, VERDICT, Chat, coverage, kept_verdicts, verdicts
 from ..sources.fetch import fetched_pages
@@ -117,7 +117,8 @@ def build(facts: DataFrame, articles: DataFrame, known: DataFrame | None = None,
 def asked_about(queries: DataFrame, corpus: DataFrame | None, options: Evaluation, encoder: Encoder | None = None) -> DataFrame:
     """Queries with the messages that ask about them."""
     if options.use_fragments and options.mode == "relevant":
-        found = retrieve(article_text_of(queries, corpus), encoder, options.splitter, options.top_k)
+        links = queries.select("id", F.posexplode("relevant_articles").alias("place", "article"))
+        found = retrieve_linked(queries, links, corpus.select(F.col("id").alias("article"), "text"), encoder, options.splitter, options.top_k)
         asked = queries.join(found, "id")
     else:
         asked = abstracts_of(queries, corpus, options.mode)
