@@ -75,7 +75,10 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
-def fragments(c: Column | str, splitter: str = "sentence") -> Column:
+def fragments(c: Column | str, splitter="sentence", lang: str = "en") -> Column:
+    """Parts of a text: ``sentence`` by a pattern, ``paragraph``, or sentences by learned boundaries (functions/sentences.py) of a language."""
+    if hasattr(splitter, "sentences"):
+        return splitter.split(c, F.lit(lang))
     if splitter not in ("sentence", "paragraph"):
         raise ValueError(f"no splitter is called {splitter}")
     return sentences(c) if splitter == "sentence" else paragraphs(c)

@@ -90,7 +90,7 @@ def retrieve(queries: DataFrame, encoder: Encoder | None = None, splitter: str =
     return retrieve_linked(queries.select(key, "text"), links, queries.select(F.col(key).alias("article"), F.col("article_text").alias("text")), encoder, splitter, k, key)
 
 
-def retrieve_linked(queries: DataFrame, links: DataFrame, articles: DataFrame, encoder: Encoder | None = None, splitter: str = "sentence", k: int = 5, key: str = "id") -> DataFrame:
+def retrieve_linked(queries: DataFrame, links: DataFrame, articles: DataFrame, encoder: Encoder | None = None, splitter="sentence", k: int = 5, key: str = "id", lang: str = "en") -> DataFrame:
     """queries (key, text), links (key, place, article) and articles (article, text) -> (key, contexts): of the fragments of a query's articles,
     taken as one text in the order of their places, the k nearest to it, best first; ties go to the earlier fragment.
 
@@ -100,9 +100,10 @@ def retrieve_linked(queries: DataFrame, links: DataFrame, articles: DataFrame, e
     """
     encoder = encoder or hashed_words()
     text = F.coalesce(F.col("text"), F.lit(""))
-    open_end = text.rlike(r"(^|[^.!?\s])\s*$") if splitter == "sentence" else ~text.rlike(r"\n\n$")
+    # learned boundaries end with each article
+    open_end = F.lit(False) if not isinstance(splitter, str) else text.rlike(r"(^|[^.!?\s])\s*$") if splitter == "sentence" else ~text.rlike(r"\n\n$")
     white = text.rlike(r"^\s*$")
-    split = articles.select("article", fragments(text, splitter).alias("parts"), open_end.alias("open"), F.regexp_extract(text, r"^\s*", 0).alias("lead"), F.when(white, "").otherwise(F.regexp_extract(text, r"\s*$", 0)).alias("tail"))
+    split = articles.select("article", fragments(text, splitter, lang).alias("parts"), open_end.alias("open"), F.regexp_extract(text, r"^\s*", 0).alias("lead"), F.when(white, "").otherwise(F.regexp_extract(text, r"\s*$", 0)).alias("tail"))
     # an article without a fragment is an empty one, through which an open end goes on
     split = stored(split.withColumn("parts", F.when(F.size("parts") == 0, F.array(F.lit(""))).otherwise(F.col("parts"))), "fragments")
     ends = split.select("article", "open", "lead", "tail", F.size("parts").alias("n"), F.get("parts", F.lit(0)).alias("first"), F.element_at("parts", -1).alias("final"))

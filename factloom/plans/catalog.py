@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import answers, months, text, vectors
+from ..functions import answers, months, sentences, text, vectors
 from ..functions.lemmas import for_keywords, lemmatize_with
 from ..operators import context, dataset, metrics, retrieval, verdict
 from ..operators.numbering import number_rows
@@ -332,6 +332,33 @@ def quarantined_lines(spark, sf):
     return bad.unionByName(good)
 
 
+_TYPES = r"""t AS (
+  SELECT coalesce(lang, '') AS lang, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g'))) AS b FROM documents
+), c AS (
+  SELECT lang, CASE WHEN regexp_matches(w, '^[0-9]+$') THEN '0' ELSE w END AS word, count(*) FILTER (p) AS with_period, count(*) FILTER (NOT p) AS without
+  FROM (SELECT lang, regexp_replace(b, '\.$', '') AS w, ends_with(b, '.') AS p FROM t WHERE b <> '') GROUP BY ALL
+), e AS (SELECT lang, sum(with_period) AS periods, sum(with_period + without) AS n FROM c GROUP BY lang)"""
+
+
+@query("WITH " + _TYPES + r""", s AS (
+  SELECT lang, word, with_period, without, with_period::DOUBLE AS k, (with_period + without)::DOUBLE AS m, greatest(least(periods / n, 1 - 1e-12::DOUBLE), 1e-12::DOUBLE) AS p,
+    length(word) - length(replace(word, '.', '')) AS inside FROM c JOIN e USING (lang) WHERE with_period > 0 AND regexp_matches(word, '\p{L}')
+)
+SELECT lang, word, with_period, without, round(2 * (k * ln(0.99::DOUBLE) + (m - k) * ln(0.01::DOUBLE) - k * ln(p) - (m - k) * ln(1 - p)) * exp(-(length(word) - inside)::DOUBLE) * (inside + 1) * pow(greatest(length(word) - inside, 1)::DOUBLE, -without::DOUBLE), 4) AS score FROM s""")
+def abbreviation_scores(spark, sf):
+    """How much each word of each language looks like an abbreviation, from counts over all documents."""
+    scores = sentences.abbreviation_scores(sentences.tokens(_t(spark, sf, "documents", "lang", "text")))
+    return scores.withColumn("score", F.round("score", 4))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS n_chars FROM documents")
+def learned_sentences(spark, sf):
+    """Documents cut by boundaries learned from all of them: no letter is lost."""
+    d = _t(spark, sf, "documents", "doc_id", "lang", "text")
+    parts = sentences.learn_boundaries(d).split("text", "lang")
+    return d.select("doc_id", F.char_length(F.regexp_replace(F.array_join(parts, ""), r"[\x20\x09-\x0D]+", "")).cast("long").alias("n_chars"))
+
+
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n'), lambda x: trim(x) <> '')) AS n_paragraphs FROM documents")
 def paragraph_fragments(spark, sf):
     parts = text.fragments(F.replace("text", F.lit("\n"), F.lit("\n\n")), "paragraph")

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sentences import learn_boundaries
 from ..functions.months import french_year_month, portuguese_month
 from ..operators.calls import CHUNK, WIDTH, results
 from ..operators.context import abstracts_of, messages
@@ -118,7 +119,9 @@ def asked_about(queries: DataFrame, corpus: DataFrame | None, options: Evaluatio
     """Queries with the messages that ask about them."""
     if options.use_fragments and options.mode == "relevant":
         links = queries.select("id", F.posexplode("relevant_articles").alias("place", "article"))
-        found = retrieve_linked(queries, links, corpus.select(F.col("id").alias("article"), "text"), encoder, options.splitter, options.top_k)
+        texts = corpus.select(F.col("id").alias("article"), "text")
+        splitter = learn_boundaries(texts.withColumn("lang", F.lit(options.lang))) if options.splitter == "learned" else options.splitter
+        found = retrieve_linked(queries, links, texts, encoder, splitter, options.top_k, lang=options.lang)
         asked = queries.join(found, "id")
     else:
         asked = abstracts_of(queries, corpus, options.mode)
