@@ -18,7 +18,7 @@ ALWAYS, ABBREVIATION, STARTER, TOGETHER = 0.99, 0.3, 30.0, 7.88
 LIMIT = 20_000
 #: A word, and what stands around it.
 TOKEN, AROUND = r"[^\x20\x09-\x0D]+", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$"
-_CLOSING = "\"'”’»)]}"
+_CLOSING = "“\"'”’»)]}"
 
 
 def tokens(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:

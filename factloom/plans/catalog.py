@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import answers, months, sentences, text, vectors
+from ..functions import answers, inflection, months, sentences, text, vectors
 from ..functions.lemmas import for_keywords, lemmatize_with
 from ..operators import context, dataset, metrics, retrieval, verdict
 from ..operators.numbering import number_rows
@@ -359,6 +359,43 @@ def learned_sentences(spark, sf):
     return d.select("doc_id", F.char_length(F.regexp_replace(F.array_join(parts, ""), r"[\x20\x09-\x0D]+", "")).cast("long").alias("n_chars"))
 
 
+_FORMS = r"""w AS (
+  SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS lemma FROM documents
+), p AS (
+  SELECT lang, lemma, CASE hash % 3 WHEN 0 THEN lemma || 's' WHEN 1 THEN substr(lemma, 1, length(lemma) - 1) || 'en' ELSE lemma END AS form
+  FROM (SELECT lang, lemma, length(lemma) * 7 + ascii(lemma) AS hash FROM w WHERE lemma <> '')
+)"""
+
+
+@query("WITH " + _FORMS + r""", n AS (
+  SELECT DISTINCT lang, form, lemma FROM p WHERE form <> ''
+), s AS (
+  SELECT *, list_position(list_transform(range(1, greatest(least(length(form), length(lemma)), 1) + 1), lambda i: substr(form, i, 1) = substr(lemma, i, 1)), false) AS differ FROM n
+), e AS (
+  SELECT lang, form, length(form) - CASE WHEN differ > 0 THEN differ - 1 ELSE least(length(form), length(lemma)) END AS cut, substr(lemma, CASE WHEN differ > 0 THEN differ ELSE least(length(form), length(lemma)) + 1 END) AS put FROM s
+), x AS (
+  SELECT lang, unnest(list_concat(list_transform(range(0, least(length(form), 8) + 1), lambda i: substr(form, (length(form) - i + 1)::BIGINT)), ['^' || form])) AS ending, cut, put FROM e
+)
+SELECT lang, ending, cut::INT AS cut, put, count(*) AS forms FROM x GROUP BY ALL""")
+def ending_counts(spark, sf):
+    """Words of the documents under three made inflections: which edit how many forms of an ending ask for."""
+    words = _t(spark, sf, "documents", "lang", "text").select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("lemma")).distinct()
+    kind = (F.char_length("lemma") * 7 + F.ascii("lemma")) % 3
+    form = F.when(kind == 0, F.concat("lemma", F.lit("s"))).when(kind == 1, F.concat(F.substr("lemma", F.lit(1), F.char_length("lemma") - 1), F.lit("en"))).otherwise(F.col("lemma"))
+    return inflection.ending_counts(inflection.edits(words.select("lang", form.alias("form"), "lemma")))
+
+
+@query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS n_words FROM documents")
+def lemmas_of_pairs(spark, sf):
+    """Distinct words of the documents with an ending put on, and their lemmas by rules induced from the same made pairs: as many as before."""
+    d = _t(spark, sf, "documents", "doc_id", "text").withColumn("w", text.words("text"))
+    put = lambda w: F.concat(w, F.lit("ingly"))
+    pairs = d.select(F.lit("xx").alias("lang"), F.explode("w").alias("lemma")).distinct().withColumn("form", put(F.col("lemma")))
+    lemmatize = lemmatize_with("xx", [inflection.learn_lemmas(pairs).factory()])
+    back = lemmatize(F.transform("w", put))
+    return d.select("doc_id", F.size(F.array_intersect(back, "w")).cast("long").alias("n_words"))
+
+
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n'), lambda x: trim(x) <> '')) AS n_paragraphs FROM documents")
 def paragraph_fragments(spark, sf):
     parts = text.fragments(F.replace("text", F.lit("\n"), F.lit("\n\n")), "paragraph")
