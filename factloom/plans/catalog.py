@@ -291,6 +291,16 @@ def nested_flatten(spark, sf):
     return files.scan_facts(spark, path).select(F.col("year").alias("source"), F.col("month").alias("lang"), F.col("item").cast("long").alias("item"), F.col("text").cast("long").alias("doc_id"))
 
 
+@query("SELECT source, lang, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1)::BIGINT AS item, doc_id, md5(text) AS digest FROM documents")
+def nested_ranges(spark, sf):
+    """The nested export with whole texts, scanned in ranges of 50,000 bytes that begin anywhere in a file."""
+    none, path = F.expr("cast(array() as array<string>)"), new_folder(spark, "facts")
+    place = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))
+    rows = _t(spark, sf, "documents").select(F.col("source").alias("year"), F.col("lang").alias("month"), place.alias("item"), F.col("doc_id").cast("string").alias("section"), "text", none.alias("links"), none.alias("relevant_links"))
+    files.write_nested(files.nest_facts(rows), path)
+    return files.scan_facts(spark, path, 50_000).select(F.col("year").alias("source"), F.col("month").alias("lang"), F.col("item").cast("long").alias("item"), F.col("section").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
+
+
 @query("SELECT item_id, 'q-' || (row_number() OVER (ORDER BY text, item_id) - 1) AS qid FROM benchmark")
 def positional_ids(spark, sf):
     """Ids by place in a total order, numbered without sending all rows through one task."""

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions.months import month_number
 from . import log
-from .storage import exists
+from .nested import RANGE_BYTES, member_texts, members
+from .storage import exists, qualified
 
 FACT = "section string, text string, links array<string>, relevant_links array<string>"
 FACTS_JSON = f"map<string, map<string, array<struct<{FACT.replace(' string', ':string').replace(' array', ':array')}>>>>"
@@ -71,9 +72,16 @@ def scan_queries(spark: SparkSession, path: str, form: str = "json") -> DataFram
     return log.latest(rows.select("id", "text", *(F.coalesce(F.col(f"`{old}`"), none).alias(new) for new, old in lists.items()), "metadata", "_place"))
 
 
-def scan_facts(spark: SparkSession, path: str) -> DataFrame:
-    """The nested export {year: {month: [fact]}} -> (year, month, item, fact columns); items keep their order within a month."""
+def scan_facts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The nested export {year: {month: [fact]}} -> (year, month, item, fact columns); items keep their order within a month.
+
+    Files up to ``range_bytes`` are read whole; a larger one is read by several tasks, year by year, through a file system of pyarrow's."""
+    large = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > range_bytes).select("path", F.col("length").alias("bytes"))
+    large = [tuple(r) for r in large.collect()]  # a row for each large file
     text = spark.read.text(path, wholetext=True)
+    if large:
+        files = spark.createDataFrame([(qualified(spark, p), n) for p, n in large], "path string, bytes long")
+        text = text.where(F.col("_metadata.file_size") <= range_bytes).select("value").unionByName(member_texts(members(files, range_bytes)))
     years = text.select(F.explode(F.from_json("value", FACTS_JSON)).alias("year", "months"))
     items = years.select("year", F.explode("months").alias("month", "facts")).select("year", "month", F.posexplode("facts").alias("item", "fact"))
     none = F.expr("cast(array() as array<string>)")
