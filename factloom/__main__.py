@@ -10,6 +10,8 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.inflection import learn_lemmas
+from .functions.lemmas import register_lemmatizer
 from .plans import runs
 from .sources import fetch, files
 from .sources.articles import fetched_articles, local_articles
@@ -40,6 +42,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--corpus", required=True)
     p.add_argument("--queries", required=True)
     p.add_argument("--lang", default="en")
+    p.add_argument("--lemmas", help="Parquet with lang, form, lemma: pairs that lemmas are learned from")
     only = p.add_mutually_exclusive_group()
     only.add_argument("--corpus-only", dest="only", action="store_const", const="corpus")
     only.add_argument("--queries-only", dest="only", action="store_const", const="queries")
@@ -47,6 +50,7 @@ def options() -> argparse.ArgumentParser:
     for name in ("queries", "corpus", "output"):
         p.add_argument(f"--{name}", required=True)
     p.add_argument("--chat", required=True, help="module:function from messages to a reply")
+    p.add_argument("--lemmas", help="Parquet with lang, form, lemma: pairs that lemmas are learned from")
     p.add_argument("--encoder", help="module:function from texts to vectors")
     for f in fields(runs.Evaluation):
         flag = f"--{f.name.replace('_', '-')}"
@@ -66,6 +70,8 @@ def _warn(spark: SparkSession, *paths: tuple[str, str]) -> None:
 def main(words: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = options().parse_args(words)
     spark = spark or SparkSession.builder.appName(f"factloom {a.program}").getOrCreate()
+    if getattr(a, "lemmas", None):
+        register_lemmatizer(learn_lemmas(spark.read.parquet(a.lemmas)).factory())
     if a.program == "scrape":
         archives = spark.read.parquet(a.archives)
         archives, pages = runs.online(archives, a.fetch, pause=a.wait) if a.fetch else (archives, spark.read.parquet(a.pages))

@@ -14,7 +14,7 @@ from ..operators import context, dataset, metrics, retrieval, verdict
 from ..operators.numbering import number_rows
 from ..sources import files, html, log
 from ..sources.storage import new_folder
-from ..streaming import incremental
+from ..streaming import incremental, registry
 
 #: Keys of items, and vectors asked about, that are broadcast at once, at most.
 KEYS, ASKED = 10_000, 100_000
@@ -342,6 +342,17 @@ def quarantined_lines(spark, sf):
     return bad.unionByName(good)
 
 
+@query("SELECT url, 'c-' || (row_number() OVER (ORDER BY first, url) - 1) AS cid FROM (SELECT url, min(page_id) AS first FROM pages GROUP BY url)")
+def registry_batches(spark, sf):
+    """URLs of the pages in three batches by their ids' order, the second of them twice: as numbered at once."""
+    path = new_folder(spark, "registry")
+    pages = _t(spark, sf, "pages", "page_id", "url").select(F.col("page_id").alias("idx"), F.lit(0).alias("pos"), "url")
+    top = pages.agg(F.max("idx")).first()[0] or 0
+    for k in (0, 1, 1, 2):
+        registry.register_urls(pages.where(F.floor(F.col("idx") * 3 / (top + 1)) == k), path, f"batch-{k}")
+    return registry.registered(spark, path)
+
+
 _TYPES = r"""t AS (
   SELECT coalesce(lang, '') AS lang, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g'))) AS b FROM documents
 ), c AS (

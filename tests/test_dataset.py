@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import lemmas
 from factloom.operators import context, dataset, metrics, retrieval, verdict
 from factloom.operators.numbering import number_rows
 from factloom.plans.runs import Evaluation, build, judge
@@ -217,6 +218,13 @@ def test_command_line_from_pages_to_a_report(spark, tmp_path, capsys):
     main(["evaluate", "--queries", at("queries"), "--corpus", at("corpus"), "--output", at("run"), "--chat", "tests.test_dataset:offline", "--model", "m", "--pause", "0"], spark)
     said = capsys.readouterr().out.splitlines()
     assert said[:4] == ["model: m", "accuracy: 0.5000", "recall (without idk): 1.0000", "idk_ratio: 0.0000"] and said[5] == "answers: null: 1, yes: 1"
+    assert "skipped" not in capsys.readouterr().err
     (tmp_path / "more.json").write_text(json.dumps({"2024": {"April": [{"section": "s", "text": "earlier", "links": []}], "May": [{"section": "s", "text": "... that A B met C ?", "links": []}]}}))
-    main(["build", "--facts", at("more.json"), "--corpus", at("corpus"), "--queries", at("queries"), "--queries-only"], spark)
+    (tmp_path / "queries" / "more.jsonl").write_text("no JSON\n")
+    spark.createDataFrame([("en", "earlier", "early"), ("en", "towers", "tower")], "lang string, form string, lemma string").write.parquet(at("pairs"))
+    try:
+        main(["build", "--facts", at("more.json"), "--corpus", at("corpus"), "--queries", at("queries"), "--lemmas", at("pairs"), "--queries-only"], spark)
+    finally:
+        lemmas._factories.clear()
+    assert "skipped 1 lines that are no JSON" in capsys.readouterr().err
     assert {r["id"]: r["text"] for r in files.scan_queries(spark, at("queries")).collect()}["q-2"] == "earlier"
