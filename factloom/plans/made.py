@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import months, text, vectors
+from ..functions.lemmas import lemmatize_with
 from ..operators import context, dataset, metrics, retrieval, verdict
 from ..sources import articles, files, html
-from ..sources.storage import new_folder
+from ..sources.storage import new_folder, stored
 from . import runs
 from .catalog import QUERIES, _t, query
 
@@ -482,3 +483,76 @@ def query_lines(spark, sf):
     rows = _t(spark, sf, "benchmark").select(F.concat(F.lit("q-"), i).alias("id"), "text", F.when(F.col("item_id") % 2 == 0, F.array(F.concat(F.lit("c-"), i))).alias("linked_articles"), F.array(F.lit("k")).alias("keywords"))
     q = files.scan_queries(spark, _written(files.original_names(rows), "queries"))
     return q.select("id", "text", *(F.array_join(c, " ").alias(n) for c, n in (("linked_articles", "linked"), ("relevant_articles", "relevant"), ("keywords", "keywords"))))
+
+
+@query("""SELECT page_id, regexp_extract(replace(u, '_', ' '), '^.*?/wiki/(.*)$', 1) AS title FROM (SELECT page_id, 'https://en.wikipedia.org/wiki/Page_' || page_id AS u FROM pages WHERE page_id % 3 <> 0)""")
+def known_titles(spark, sf):
+    """Titles of the mentioned articles that the registry has, here two of three."""
+    url = F.concat(F.lit(ROOT.format("en") + "Page_"), F.col("page_id").cast("string"))
+    pages = _t(spark, sf, "pages", "page_id").select("page_id", url.alias("url"))
+    mentioned = pages.select(F.col("page_id").alias("idx"), F.lit(0).alias("pos"), "url", F.lit(False).alias("relevant"))
+    registry = pages.where("page_id % 3 <> 0").select("url", F.concat(F.lit("c-"), F.col("page_id").cast("string")).alias("cid"))
+    return dataset.known_titles(mentioned, registry).withColumnRenamed("idx", "page_id")
+
+
+@query("SELECT doc_id, md5(replace(text, 'e ', 'e_')) AS digest FROM documents")
+def nonbreaking_spaces(spark, sf):
+    """Texts with spaces that must not break: each becomes a plain one."""
+    hard = F.replace(F.replace("text", F.lit("e "), F.lit("e_")), F.lit(" "), F.lit("\u00a0"))
+    return _t(spark, sf, "documents", "doc_id", "text").select("doc_id", F.md5(text.nonbreaking_to_space(hard)).alias("digest"))
+
+
+@query(f"SELECT item_id // {ITEMS} AS page, '{html.UNTITLED}' AS section, count(*) AS facts FROM benchmark GROUP BY 1")
+def untitled_sections(spark, sf):
+    """Facts below headings that lack their tag."""
+    made = _pages(spark, sf, "en", "<li>{t}</li>", '<div class="mw-heading mw-heading3">bare</div><ul><li>0</li>{all}</ul>')
+    facts = html.parse_facts(made).groupBy("url", "section").agg(F.count(F.lit(1)).alias("facts"))
+    return facts.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page"), "section", "facts")
+
+
+def _two_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token vectors and their mask as a model gives them: (length, 1) and (1, 0), the second of them masked in texts of odd length."""
+    n = np.array([len(t) for t in texts], float)
+    states = np.stack([np.stack([n, np.ones(len(n))], 1), np.stack([np.ones(len(n)), np.zeros(len(n))], 1)], 1)
+    return states, np.stack([np.ones(len(n)), n % 2 == 0], 1)
+
+
+@query("""WITH t AS (SELECT item_id, length(text)::DOUBLE AS n FROM benchmark), v AS (
+  SELECT item_id, 'cls' AS pooling, n AS x, 1.0::DOUBLE AS y FROM t UNION ALL SELECT item_id, 'mean', CASE WHEN n % 2 = 0 THEN (n + 1) / 2 ELSE n END, CASE WHEN n % 2 = 0 THEN 0.5 ELSE 1.0 END FROM t
+)
+SELECT item_id, pooling, round(x / sqrt(x * x + y * y), 6) AS first, round(y / sqrt(x * x + y * y), 6) AS second FROM v""")
+def pooled_encodings(spark, sf):
+    """Encodings of the items by the first token and by the mean of the tokens that count, of length 1."""
+    out = None
+    for pooling in ("cls", "mean"):
+        rows = retrieval.embedded(_t(spark, sf, "benchmark").select("item_id", "text"), "text", retrieval.pooled(_two_tokens, pooling, batch=7))
+        part = rows.select("item_id", F.lit(pooling).alias("pooling"), F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.get("vector", F.lit(1)), 6).alias("second"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _tagged(lang: str):
+    """A lemmatizer that says which language it was made for; there is none for German."""
+    if lang == "de":
+        raise LookupError(lang)
+    return lambda words: [f"{w}_{lang}" for w in words]
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: CASE lang WHEN 'de' THEN x ELSE x || '_' || lang END))), ' ') AS lemmas FROM documents WHERE lang IS NOT NULL""")
+def lemmas_by_language(spark, sf):
+    """Each document's words by the lemmatizer of its language, in lower case where there is none."""
+    d, out = _t(spark, sf, "documents", "doc_id", "lang", "text"), None
+    for lang in sorted(r[0] for r in d.select("lang").where("lang is not null").distinct().collect()):
+        found = lemmatize_with(lang, [_tagged])(text.words("text"))
+        part = d.where(F.col("lang") == lang).select("doc_id", F.array_join(F.sort_array(F.array_distinct(found)), " ").alias("lemmas"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_REPLIES + """, x AS (SELECT avg((answer IS NOT DISTINCT FROM 'yes')::INT) AS a, coalesce(count(*) FILTER (answer = 'yes') / nullif(count(*) FILTER (answer IN ('yes', 'no')), 0), 0) AS b, avg((answer IS NOT DISTINCT FROM 'idk')::INT) AS c, avg(coverage) AS d FROM r)
+SELECT unnest(['model: m', printf('accuracy: %.4f', a), printf('recall (without idk): %.4f', b), printf('idk_ratio: %.4f', c), printf('mean_coverage: %.4f', d), 'answers: ' || (SELECT string_agg(a || ': ' || n, ', ' ORDER BY a) FROM (SELECT coalesce(answer, 'null') AS a, count(*) AS n FROM r GROUP BY 1))]) AS line FROM x""")
+def console_report(spark, sf):
+    """What an evaluation of the documents says on the console, but for the seconds."""
+    judged = runs.judge(_asked(spark, sf), None, offline_chat, runs.Evaluation(pause=0.0, allow_idk=True)).select("id", "answer", "reasoning", "coverage", "failed")
+    found = metrics.evaluate(_asked(spark, sf).select("id"), stored(judged, "judged"), "m").withColumn("seconds", F.lit(1.0))
+    return spark.createDataFrame([(x,) for x in runs.report(found).splitlines() if not x.startswith("seconds")], "line string")
