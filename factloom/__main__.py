@@ -14,6 +14,7 @@ from .functions.inflection import learn_lemmas
 from .functions.lemmas import register_lemmatizer
 from .plans import runs
 from .sources import fetch, files
+from .sources.storage import scratch
 from .sources.articles import fetched_articles, local_articles
 
 
@@ -70,6 +71,11 @@ def _warn(spark: SparkSession, *paths: tuple[str, str]) -> None:
 def main(words: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = options().parse_args(words)
     spark = spark or SparkSession.builder.appName(f"factloom {a.program}").getOrCreate()
+    with scratch(spark):
+        run(a, spark)
+
+
+def run(a: argparse.Namespace, spark: SparkSession) -> None:
     if getattr(a, "lemmas", None):
         register_lemmatizer(learn_lemmas(spark.read.parquet(a.lemmas)).factory())
     if a.program == "scrape":

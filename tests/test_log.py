@@ -107,3 +107,17 @@ def test_no_rows(spark, tmp_path, made):
         (tmp_path / "none").mkdir()
     assert files.scan_corpus(spark, str(tmp_path / "none")).count() == 0
     assert files.skipped(spark, str(tmp_path / "none"), files.CORPUS) is None
+
+
+def test_scratch_leaves_nothing_behind(spark):
+    import os
+
+    from factloom.operators.numbering import number_rows
+    from factloom.sources.storage import scratch, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with scratch(spark):
+        assert number_rows(spark.range(9).toDF("x"), ["x"]).count() == 9
+        assert set(os.listdir(folder)) != before
+    assert set(os.listdir(folder)) == before
