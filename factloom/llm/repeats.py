@@ -1,6 +1,7 @@
-"""Suffix-array dedup: removal of long strings that occur more than once, by distributed prefix doubling over thinned positions.
+"""Removal of long strings that occur more than once, by fingerprints of growing length over thinned positions, in place of a suffix array.
 
-A full suffix array has one row for each byte. Here the positions are thinned first, without losing any: of the 64-byte strings within a
+Prefix doubling has one row for each byte and makes ranks from ranks. Measured on sf0.01 it shuffles 107 times its input, so it does not fit the
+limits (README); here the positions are thinned first, without losing any, and each round hashes the text itself: of the 64-byte strings within a
 200-byte window the one with the smallest hash is the window's anchor, so equal windows have equal anchors at equal offsets. The rounds then
 rank ever longer strings. A rank is a 64-bit name computed from the names of two parts at a growing offset; Spark sorts and groups the ranks
 by shuffle, and positions with a rank of their own drop out:
