@@ -110,5 +110,17 @@ def normalized(text: str) -> str:
 
 
 @pandas_udf(StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
+def _normalize_any(texts: pd.Series) -> pd.Series:
     return texts.map(normalized, na_action="ignore")
+
+
+#: What built-ins normalize as well: ASCII without separators, marked letters with a plain one of their own, signs that stay what they are.
+_SIMPLE = f"\t-\r -~\u00a0{MARKED}ßæøœÆØŒ«»“”‘’„–—…©·¿¡€°"
+
+
+def normalize_text(c: Column | str) -> Column:
+    """normalized() of a column. Texts of Western European letters without heading marks stay in generated code; the others go to Python."""
+    c = F.col(c) if isinstance(c, str) else c
+    hard = c.rlike(f"==|[^{_SIMPLE}]")
+    plain = strip(F.translate(c, MARKED + "\u00a0", UNMARKED + " "))
+    return F.when(hard, _normalize_any(F.when(hard, c))).otherwise(plain)

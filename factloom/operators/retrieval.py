@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fragments, strip
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, dot
 from ..sources.storage import stored
 from .numbering import number_rows, running_sum
 
@@ -84,6 +85,60 @@ def _nearest(scored: DataFrame, key: str, place: list[str], k: int) -> DataFrame
     return best.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "fragment"))), lambda x: x["fragment"]).alias("contexts"))
 
 
+def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows of up to ``size`` vectors of one length: keys and vectors as bytes of whole matrices. Vectors that are null or empty are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def full(dim: int) -> pa.RecordBatch:
+            keys, vectors = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array(keys, np.int64).tobytes()]), pa.array([np.array(vectors, np.float64).tobytes()])], names=["dim", "keys", "vectors"])
+
+        for b in batches:
+            for k, v in zip(b.column(key).to_pylist(), b.column(vector).to_pylist(), strict=True):
+                if k is not None and v:
+                    keys, vectors = held.setdefault(len(v), ([], []))
+                    keys.append(k)
+                    vectors.append(v)
+                    if len(keys) >= size:
+                        yield full(len(v))
+        for dim in list(held):
+            yield full(dim)
+
+    return rows.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, "dim int, keys binary, vectors binary")
+
+
+def nearest_vectors(rows: DataFrame, asked: DataFrame, k: int, size: int = 2048) -> DataFrame:
+    """rows (id, vector) and asked (query, vector) -> (query, id, score, rank): the k rows of the largest inner product with each query, itself
+    (the row of its number) left out; ties go to the smaller id.
+
+    Both sides are packed into matrices of ``size`` vectors. Every query block meets every block of rows, wherever Spark brings them together,
+    and gives the best k of each query, with all that rounding could confuse with them; only these are scored exactly and merged by query.
+    """
+    left = _packed(rows, "id", "vector", size)
+    right = _packed(asked, "query", "vector", size).toDF("query_dim", "queries", "query_vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, keys, vectors, query_dim, queries, query_vectors in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if dim != query_dim:
+                    continue
+                ids, names = np.frombuffer(keys, np.int64), np.frombuffer(queries, np.int64)
+                v, q = np.frombuffer(vectors).reshape(-1, dim), np.frombuffer(query_vectors).reshape(-1, dim)
+                scores = q @ v.T
+                scores[names[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(names), -np.inf)
+                slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+                at_q, at_v = np.nonzero((scores >= (least - slack)[:, None]) & (names[:, None] != ids[None, :]))
+                arrays = [pa.array(names[at_q]), pa.array(ids[at_v]), pa.array(list(q[at_q]), pa.list_(pa.float64())), pa.array(list(v[at_v]), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query", "id", "qv", "v"])
+
+    # not a join by length: all vectors have the same, and would meet in one task
+    near = left.crossJoin(right).mapInArrow(run, "query long, id long, qv array<double>, v array<double>")
+    return top_by_group(near.select("query", "id", dot("qv", "v").alias("score")), "query", "score", "id", k)
+
+
 def retrieve(queries: DataFrame, encoder: Encoder | None = None, splitter: str = "sentence", k: int = 5, key: str = "id") -> DataFrame:
     """queries (key, text, article_text) -> (key, contexts): the k fragments of each query's own text nearest to it, best first."""
     links = queries.select(key, F.lit(0).alias("place"), F.col(key).alias("article"))

@@ -16,8 +16,8 @@ from ..sources import files, html, log
 from ..sources.storage import new_folder
 from ..streaming import incremental, registry
 
-#: Keys of items, and vectors asked about, that are broadcast at once, at most.
-KEYS, ASKED = 10_000, 100_000
+#: Keys of items that are broadcast at once, at most.
+KEYS = 10_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -232,17 +232,10 @@ WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_
 s AS (SELECT query_id, vec_id, list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) AS score FROM q JOIN embeddings ON vec_id <> query_id)
 SELECT query_id, vec_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def topk_similar(spark, sf):
-    """The stated queries (every twentieth vector) against all rows, in blocks of at most ASKED queries: a block is sent to the rows, which stay
-    where they are, and each task keeps the best five for each query."""
-    v = _t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    blocks, out = max(1, -(-asked.count() // ASKED)), None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = v.join(F.broadcast(block), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", vectors.dot("qv", "embedding").alias("score"))
-        best = retrieval.top_by_group(scored, "query_id", "score", "vec_id", 5)
-        out = best if out is None else out.unionByName(best)
-    return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    """The stated queries (every twentieth vector) against all rows, in blocks of vectors."""
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    best = retrieval.nearest_vectors(v, v.where("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5)
+    return best.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query("""

@@ -65,3 +65,18 @@ def test_running_sum(spark):
         want[i] = total
     assert {r["id"]: r["sum"] for r in running_sum(df, ["id"], "v").collect()} == want
     assert running_sum(df.where("id < 0"), ["id"], "v").count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 2048])
+def test_nearest_vectors_against_all_pairs(spark, size):
+    g = np.random.default_rng(2)
+    v = g.normal(size=(150, 5)).round(1)
+    v[20:60] = v[3]  # many ties
+    rows = [(i, v[i].tolist()) for i in range(150)] + [(200, [1.0, 2.0]), (201, None), (202, []), (None, v[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4)
+    got = retrieval.nearest_vectors(df, df.where("id % 20 = 0").selectExpr("id query", "vector"), 6, size).collect()
+    exact = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for q in range(0, 150, 20):
+        want = sorted(((-exact(v[q], v[i]), i) for i in range(150) if i != q))[:6]
+        assert [(r["id"], r["score"]) for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    assert {r["query"] for r in got} == set(range(0, 150, 20))
