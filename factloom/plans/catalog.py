@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, inflection, months, sentences, text, vectors
 from ..functions.lemmas import for_keywords, lemmatize_with
-from ..operators import context, dataset, metrics, retrieval, verdict
+from ..operators import containment, context, dataset, metrics, retrieval, verdict
 from ..operators.numbering import number_rows
 from ..sources import files, html, log
 from ..sources.storage import new_folder
 from ..streaming import incremental, registry
 
-#: Keys of items that are broadcast at once, at most.
-KEYS = 10_000
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -125,29 +122,11 @@ def mean_coverage(spark, sf):
 SELECT item_id, count(*) AS n, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS doc_ids
 FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
 def relevant_documents(spark, sf):
-    """Documents that hold an item's text. A pair shares the item's second and third word, so it is found by those and then verified.
-
-    As long as the items are few (KEYS), their keys travel to the documents, each of which is read once and never moved; beyond that, the
-    documents' word pairs are joined with the keys."""
+    """Documents that hold an item's text."""
     items = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs = _t(spark, sf, "documents", "doc_id", "text")
-    # an item may begin and end inside a word of the document, so neither its first nor its last word is in the key
-    inner = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    keyed = items.withColumn("tokens", inner("item")).withColumn("key", F.when(F.size("tokens") >= 4, F.xxhash64(F.slice("tokens", 2, 2))))
-    long, short = keyed.where("key is not null").select("key", "item_id", "item"), keyed.where("key is null").select("item_id", "item")
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.xxhash64(F.slice(t, i, 2))))
-    paired = docs.withColumn("t", inner("text")).where(F.size("t") >= 2)
-    n_long, n_short = keyed.agg(F.count("key"), F.count_if(F.col("key").isNull())).first()
-    if n_long <= KEYS:
-        keys = F.broadcast(long.agg(F.collect_set("key").alias("keys")))  # one row of at most KEYS numbers
-        found = paired.crossJoin(keys).select("doc_id", "text", F.explode(F.array_intersect(grams(F.col("t")), "keys")).alias("key")).join(F.broadcast(long), "key")
-    else:
-        found = paired.select("doc_id", F.explode(grams(F.col("t"))).alias("key")).join(long, "key").join(docs, "doc_id")
-    found = found.where(F.contains("text", "item")).select("item_id", "doc_id")
-    if n_short:  # items of fewer than four words are a stated set of queries against all documents
-        found = found.unionByName(docs.join(F.broadcast(short) if n_short <= KEYS else short, F.contains("text", "item")).select("item_id", "doc_id"))
+    found = containment.holders(_t(spark, sf, "documents", "doc_id", "text"), items, "text", "item").select("item_id", "doc_id")
     ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return found.distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, " ").alias("doc_ids"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(ids, " ").alias("doc_ids"))
 
 
 @query("""
