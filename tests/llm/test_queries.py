@@ -141,5 +141,7 @@ def test_empty_tables(spark, tmp_path):
     frame(spark, [], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     frame(spark, [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     frame(spark, [], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    frame(spark, [], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    frame(spark, [], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     for query in QUERIES.values():
         assert query(spark, str(tmp_path)).count() == 0
