@@ -45,14 +45,15 @@ def failure_masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     slim = slim.select("id", "part", bits.alias("mask"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     flag = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c)
     said = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(flag("quality"), flag("toxic"))
+    said = store(said.where("quality or toxic"), "said")  # a table, so that rows without an id can be split in the join
     slim = store(slim, "masks")  # texts are read once
     firsts = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     firsts = store(firsts.select("digest", "first"), "firsts")  # a table, so that the copies of one text can be split in the join
     known = F.col("id").isNotNull()
     out = slim.join(firsts, "digest", "left").select("id", "part", (F.col("mask") + F.when(known & (F.col("id") > F.col("first")), 1 << LETTERS.index("E")).otherwise(0)).alias("mask"))
-    out = out.join(said.where("quality or toxic"), "id", "left")
+    out = out.join(said, "id", "left")
     out = out.select("id", "part", "mask", F.coalesce("quality", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    out._from = slim, firsts
+    out._from = slim, firsts, said
     return out
 
 
