@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -366,7 +365,7 @@ def offline_chat(messages: list[dict]) -> str:
     """Replies by the number in the fact: fenced at once; after a correction; never; with a brace that only the last resort can read. The
     reasoning repeats the fact's first words."""
     number, said = re.search(r"fact (\d+): (.*)", messages[1]["content"], re.DOTALL).groups()
-    said, kind = regex.findall(r"[\p{L}\p{N}_]+", said.removesuffix('"?').lower()), int(number) % 4
+    said, kind = re.findall(r"\w+", said.removesuffix('"?').lower()), int(number) % 4
     corrected = any(m["content"] == context.CORRECTION for m in messages)
     if kind == 0:
         return 'so:\n```json\n{"answer": "yes", "reasoning": "%s"}\n```' % " ".join(said[:6])
