@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from factloom.functions.sentences import Boundaries, abbreviation_scores, learn_boundaries, tokens
+from factloom.functions.sentences import Boundaries, _pairs, abbreviation_scores, learn_boundaries, token_counts, tokens
 from factloom.functions.text import fragments
 
 #: Per language: words, abbreviations with what may follow, and words that begin sentences.
@@ -64,3 +64,17 @@ def test_counts_of_tokens(spark):
     got = sorted((r["word"], r["period"], r["next"]) for r in tokens(df).collect())
     assert got == [("0", True, "etc"), ("dr", True, "smith"), ("end", True, None), ("etc", True, "end"), ("smith", False, "12")]
     assert abbreviation_scores(tokens(df.limit(0))).count() == 0
+
+
+def test_counts_of_different_tokens_are_those_of_all(spark):
+    df = spark.createDataFrame([("en", "Dr. Smith, dr. SMITH 12. 7 (etc.) -- end."), (None, "x. y"), ("en", None)], "lang string, text string")
+    want = tokens(df).groupBy("lang", "word", "period").count().collect()
+    got = token_counts(df).groupBy("lang", "word", "period").agg({"k": "sum"}).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert sorted(map(tuple, abbreviation_scores(token_counts(df)).collect())) == sorted(map(tuple, abbreviation_scores(tokens(df)).collect()))
+
+
+def test_only_pairs_behind_an_abbreviation_are_told_apart(spark):
+    df = spark.createDataFrame([("en", "Dr. Smith end. Smith a. b -- c word Smith, 3. May")], "lang string, text string")
+    got = sorted((r["word"] or "", r["word"] is None, r["next"], r["k"]) for r in _pairs(df, [("en", "dr")], "lang", "text").collect())
+    assert got == [("", False, "smith", 1), ("", True, "", 1), ("", True, "3", 1), ("", True, "a", 1), ("", True, "end", 1), ("", True, "smith", 1), ("", True, "word", 1), ("0", False, "may", 1), ("a", False, "b", 1), ("dr", False, "smith", 1)]
