@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 #: Makes the lemmatizer of a language: a function from words to lemmas.
 Factory = Callable[[str], Callable[[list[str]], list[str]]]
 _factories: list[Factory] = []
+#: Fixed value: lists of words that a task has as Python strings at a time.
+SLICE = 64
 
 
 def register_lemmatizer(factory: Factory) -> None:
@@ -19,14 +21,20 @@ def register_lemmatizer(factory: Factory) -> None:
     _factories.insert(0, factory)
 
 
+def _lemmas(rows: pa.Array, call: Callable[[list[str]], list[str]] | None) -> pa.Array:
+    """Lemmas of a slice of lists; nulls stay, and Python has the strings of one slice only."""
+    lists = [None if w is None else [x.lower() for x in w] if call is None else list(call(w)) for w in rows.to_pylist()]
+    return pa.array(lists, pa.list_(pa.string()))
+
+
 def lemmatize_with(lang: str, factories: list[Factory] | None = None) -> Callable[[Column], Column]:
     """A column function array<string> -> array<string> for one language. The lemmatizer is made once for each worker, when first needed."""
     chain = list(_factories if factories is None else factories)
     if not chain:
         return lambda words: F.transform(words, F.lower)
 
-    @pandas_udf("array<string>")
-    def lemmas(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<string>")
+    def lemmas(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         call = None
         for make in chain:
             try:
@@ -34,8 +42,9 @@ def lemmatize_with(lang: str, factories: list[Factory] | None = None) -> Callabl
                 break
             except LookupError:
                 continue
-        for words in batches:
-            yield words.map(lambda w: [x.lower() for x in w] if call is None else list(call(list(w))), na_action="ignore")
+        for rows in batches:
+            parts = [_lemmas(rows.slice(i, SLICE), call) for i in range(0, len(rows), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     return lambda words: lemmas(words)
 
