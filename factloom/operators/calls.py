@@ -8,7 +8,6 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
@@ -24,6 +23,8 @@ from ..sources.storage import exists
 WIDTH = 10
 #: Rows of a chunk: what is repeated at most for each task of a run that was broken off.
 CHUNK = 200
+#: Rows of a batch that a task has as Python objects at a time.
+SLICE = 64
 _LEDGER = "chunk long, attempt long, done long, called long, file string"
 
 
@@ -90,22 +91,35 @@ def in_flight(items: Iterator, call: Callable, width: int = WIDTH, rate: float |
         yield item, value
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of Arrow batches; only those of a slice are Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield from b.slice(i, SLICE).to_pylist()
+
+
+def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+
 def called(rows: DataFrame, call: Callable[[dict], tuple], schema: str | StructType, width: int = WIDTH, rate: float | None = None, flush: int = 64) -> DataFrame:
     """A row for each row of ``rows``, made of what ``call`` gives for it, in the order in which calls finish. A task that is run again calls
     again: see called_by_chunks()."""
     schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, got in in_flight((r for b in batches for r in b.to_dict("records")), call, width, rate):
+        for _, got in in_flight(_rows(batches), call, width, rate):
             out.append(got)
             if len(out) >= flush:
-                yield pd.DataFrame(out, columns=schema.names)
+                yield _batch(out, kinds)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=schema.names)
+            yield _batch(out, kinds)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def in_chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -126,12 +140,11 @@ def called_by_chunks(rows: DataFrame, call: Callable[[dict], tuple], schema: str
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
         held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if held and held[0]["chunk"] != r["chunk"]:
-                    yield held[0]["chunk"], held
-                    held = []
-                held.append(r)
+        for r in _rows(batches):
+            if held and held[0]["chunk"] != r["chunk"]:
+                yield held[0]["chunk"], held
+                held = []
+            held.append(r)
         if held:
             yield held[0]["chunk"], held
 

@@ -139,3 +139,23 @@ def test_thinking_can_be_turned_off(spark, tmp_path):
     row = files.log.read(spark, str(tmp_path / "run" / "outputs"), "prompt string, output string").first()
     assert row["prompt"].endswith("/no_think") and json.loads(row["output"]) == {"answer": "yes", "reasoning": "k"}
     assert files.scan_predictions(spark, str(tmp_path / "run" / "predictions")).select(F.round("coverage")).first()[0] == 1.0
+
+
+def test_only_a_slice_of_a_batch_becomes_python_objects():
+    import pyarrow as pa
+
+    from factloom.operators import calls
+
+    taken = []
+
+    class Batch:
+        def __init__(self, batch):
+            self.batch, self.num_rows = batch, batch.num_rows
+
+        def slice(self, at, n):
+            taken.append(at)
+            return self.batch.slice(at, n)
+
+    rows = calls._rows(iter([Batch(pa.RecordBatch.from_pydict({"a": list(range(200))}))]))
+    assert next(rows) == {"a": 0} and taken == [0]
+    assert [r["a"] for r in rows] == list(range(1, 200)) and taken == list(range(0, 200, calls.SLICE))
