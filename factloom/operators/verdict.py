@@ -60,7 +60,7 @@ def ask(chat: Chat, messages: list[dict], attempts: int = ATTEMPTS, pause: float
 
 
 def _asked(queries: DataFrame) -> DataFrame:
-    return queries.select("id", "text", "keywords", F.element_at("messages", -1)["content"].alias("prompt"), F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    return queries.select("id", "text", "keywords", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
 def _verdict(chat: Chat, attempts: int, pause: float, sampling: dict) -> Callable[[dict], tuple]:
@@ -68,7 +68,7 @@ def _verdict(chat: Chat, attempts: int, pause: float, sampling: dict) -> Callabl
 
     def call(r: dict) -> tuple:
         messages = [dict(role=m["role"], content=m["content"]) for m in r["messages"]]
-        return (r["id"], r["text"], None if r["keywords"] is None else list(r["keywords"]), r["prompt"], *ask(chat, messages, attempts, pause, sampling.get("timeout")))
+        return (r["id"], r["text"], None if r["keywords"] is None else list(r["keywords"]), messages[-1]["content"], *ask(chat, messages, attempts, pause, sampling.get("timeout")))
 
     return call
 
