@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
-from factloom.functions.inflection import ENDING, Lemmas, edits, ending_counts, learn_lemmas, rules
+from pyspark.sql import functions as F
+
+from factloom.functions.inflection import EDGE, ENDING, Lemmas, edits, ending_counts, learn_lemmas, learned_rules, rules
 from factloom.functions.lemmas import for_coverage, lemmatize_with
 
 PAIR = "lang string, form string, lemma string"
@@ -68,3 +70,24 @@ def test_ladder_of_language_script_and_identity(spark):
 def test_no_pairs(spark):
     none = spark.createDataFrame([], PAIR)
     assert learn_lemmas(none).lemma("Words", "en") == "words" and rules(ending_counts(edits(none))).count() == 0
+
+
+def test_pairs_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    pairs = spark.createDataFrame([("xx", *p) for p in toy(4, 50)], PAIR).withColumn("form", counted("form"))
+    form, lemma = toy(4, 50)[0]
+    assert learn_lemmas(pairs).lemma(form, "xx") == lemma and seen.value == 200
+
+
+def test_rules_of_whole_forms_without_counting_them(spark):
+    pairs = [("xx", *p) for p in toy(5, 200)] + [("yy", *p) for p in toy(6, 100)] + [("xx", "went", "go"), ("xx", "saw", "see"), ("xx", "saw", "saw"), ("xx", "s", "x"), ("yy", "ss", "")]
+    edited = edits(spark.createDataFrame(pairs, PAIR))
+    got, want = (sorted(map(tuple, df.collect())) for df in (learned_rules(edited), rules(ending_counts(edited))))
+    assert got == want and any(r[1].startswith(EDGE) for r in got)
+    assert ("xx", "^saw", 0, "", 1) in got and ("xx", "^went", 4, "go", 1) in got
