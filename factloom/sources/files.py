@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.months import month_number
 from . import log
-from .nested import RANGE_BYTES, member_texts, members
+from .nested import RANGE_BYTES, piece_texts, pieces
 from .storage import exists, qualified
 
 FACT = "section string, text string, links array<string>, relevant_links array<string>"
@@ -75,17 +75,18 @@ def scan_queries(spark: SparkSession, path: str, form: str = "json") -> DataFram
 def scan_facts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The nested export {year: {month: [fact]}} -> (year, month, item, fact columns); items keep their order within a month.
 
-    Files up to ``range_bytes`` are read whole; a larger one is read by several tasks, year by year, through a file system of pyarrow's."""
+    Files up to ``range_bytes`` are read whole; a larger one is read by several tasks, piece by piece, through a file system of pyarrow's:
+    no task holds more of it than ``range_bytes`` and a fact."""
     large = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > range_bytes).select("path", F.col("length").alias("bytes"))
     large = [tuple(r) for r in large.collect()]  # a row for each large file
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=True).withColumn("first", F.lit(0).cast("long"))
     if large:
         files = spark.createDataFrame([(qualified(spark, p), n) for p, n in large], "path string, bytes long")
-        text = text.where(F.col("_metadata.file_size") <= range_bytes).select("value").unionByName(member_texts(members(files, range_bytes)))
-    years = text.select(F.explode(F.from_json("value", FACTS_JSON)).alias("year", "months"))
-    items = years.select("year", F.explode("months").alias("month", "facts")).select("year", "month", F.posexplode("facts").alias("item", "fact"))
+        text = text.where(F.col("_metadata.file_size") <= range_bytes).select("value", "first").unionByName(piece_texts(pieces(files, range_bytes)))
+    years = text.select("first", F.explode(F.from_json("value", FACTS_JSON)).alias("year", "months"))
+    items = years.select("year", "first", F.explode("months").alias("month", "facts")).select("year", "month", "first", F.posexplode("facts").alias("item", "fact"))
     none = F.expr("cast(array() as array<string>)")
-    return items.select("year", "month", "item", "fact.section", "fact.text", F.coalesce("fact.links", none).alias("links"), F.coalesce("fact.relevant_links", none).alias("relevant_links"))
+    return items.select("year", "month", (F.col("first") + F.col("item")).cast("int").alias("item"), "fact.section", "fact.text", F.coalesce("fact.links", none).alias("links"), F.coalesce("fact.relevant_links", none).alias("relevant_links"))
 
 
 def nest_facts(facts: DataFrame) -> DataFrame:

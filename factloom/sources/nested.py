@@ -1,4 +1,5 @@
-"""A large JSON object read by several tasks: where its members begin is found range by range, and each member is then read by itself."""
+"""A large JSON object read by several tasks: where its members, or the items of lists in it, begin is found range by range, and pieces of a
+range's size are then read by themselves."""
 
 from __future__ import annotations
 
@@ -66,12 +67,13 @@ def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     return files.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
 
 
-def members(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """files (path, bytes), a JSON object each -> (path, start, end) of their members, as many rows as there are keys.
+def _marks(files: DataFrame, levels: int, range_bytes: int) -> DataFrame:
+    """files (path, bytes), a JSON object each -> (path, range, at, depth, byte) of the brackets and commas of its ``levels`` outermost levels,
+    with the depth that a bracket leads to.
 
     A range is looked at without knowing what comes before it: how many quotes it has, and how deep it leads if it begins in a string and if it
-    doesn't. Sums over the ranges of a file tell where each of them really begins; in a second pass the commas and braces of the outermost
-    object are found. A task holds one range.
+    doesn't. Sums over the ranges of a file tell where each of them really begins; in a second pass the commas and brackets are found. A task
+    holds one range.
     """
     tasks = max(1, min(files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1, 4 * files.sparkSession.sparkContext.defaultParallelism))
     ranges = _ranges(files, range_bytes).repartition(int(tasks))
@@ -99,23 +101,46 @@ def members(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 step = _steps(data, quotes, r["inside"])
                 depth = r["depth"] + np.cumsum(step, dtype=np.int64)
                 within = (np.cumsum(quotes) + r["inside"]) % 2 == 1
-                at = np.flatnonzero((step == 1) & (depth == 1) | (step == -1) & (depth == 0) | (data == _COMMA) & (depth == 1) & ~within) + r["start"]
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(at), pa.string()), pa.array(at, pa.int64())], names=["path", "at"])
+                at = np.flatnonzero((step == 1) & (depth >= 1) & (depth <= levels) | (step == -1) & (depth < levels) | (data == _COMMA) & (depth >= 1) & (depth <= levels) & ~within)
+                columns = [pa.array([r["path"]] * len(at), pa.string()), pa.array([r["start"]] * len(at), pa.int64()), pa.array(at + r["start"], pa.int64()), pa.array(depth[at], pa.int64()), pa.array(data[at].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "range", "at", "depth", "byte"])
 
-    marks = known.select("path", "bytes", "start", "inside", "depth").repartition(int(tasks)).mapInArrow(found, "path string, at long")
-    following = F.lead("at").over(W.partitionBy("path").orderBy("at"))
-    return marks.select("path", (F.col("at") + 1).alias("start"), following.alias("end")).where("end > start")
+    return known.select("path", "bytes", "start", "inside", "depth").repartition(int(tasks)).mapInArrow(found, "path string, range long, at long, depth long, byte int")
 
 
-def member_texts(found: DataFrame) -> DataFrame:
-    """members() -> (value): each member as an object of its own; a task holds one member at a time."""
+def members(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """files (path, bytes), a JSON object each -> (path, start, end) of their members, as many rows as there are keys."""
+    following = F.lead("at").over(W.partitionBy("path").orderBy("at"))
+    return _marks(files, 1, range_bytes).select("path", (F.col("at") + 1).alias("start"), following.alias("end")).where("end > start")
+
+
+def pieces(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """files (path, bytes), JSON objects {key: {key: [item]}} -> (path, start, end, first, outer, inner): where the items of a list that begin
+    in one range stand, the place of their first one in the list, and where the two keys stand. A member that doesn't end is left out."""
+    order = W.partitionBy("path").orderBy("at")
+    opens, comma = F.col("byte").isin(*_OPEN), F.col("byte") == _COMMA
+    item = (F.col("depth") == 3) & (opens | comma)
+    ended = F.when((F.col("depth") == 1) & comma | (F.col("depth") == 0), F.col("at"))
+    marks = _marks(files, 3, range_bytes).withColumns({
+        "before": F.lag("at").over(order), "end": F.lead("at").over(order), "n": F.sum(item.cast("long")).over(order), "ended": F.max(ended).over(W.partitionBy("path")),
+    })
+    key = F.struct((F.col("before") + 1).alias("start"), F.col("at").alias("end"), "byte", "n")
+    marks = marks.withColumns({name: F.last(F.when(opens & (F.col("depth") == d), key), True).over(order) for name, d in (("outer", 2), ("inner", 3))})
+    # of lists in objects only: what else stands there has no items
+    items = marks.where(item & (F.col("end") < F.col("ended")) & (F.col("outer.byte") == _OPEN[0]) & (F.col("inner.byte") == _OPEN[1]))
+    keys = [F.struct(f"{k}.start", f"{k}.end").alias(k) for k in ("outer", "inner")]
+    return items.groupBy("path", "range", *keys).agg((F.min("at") + 1).alias("start"), F.max("end").alias("end"), F.min(F.col("n") - F.col("inner.n")).alias("first")).drop("range")
+
+
+def piece_texts(found: DataFrame) -> DataFrame:
+    """pieces() -> (value, first): each piece as an object of its own, {key: {key: [item]}}; a task holds one piece at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                text = _bytes(r["path"], r["start"], r["end"]).strip()
-                if text:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"{" + text + b"}"], pa.binary()).cast(pa.string())], names=["value"])
+                outer, inner = (_bytes(r["path"], r[k]["start"], r[k]["end"]) for k in ("outer", "inner"))
+                text = b"{%s{%s[%s]}}" % (outer, inner, _bytes(r["path"], r["start"], r["end"]))
+                yield pa.RecordBatch.from_arrays([pa.array([text], pa.binary()).cast(pa.string()), pa.array([r["first"]], pa.int64())], names=["value", "first"])
 
-    found = stored(found, "members")
-    return found.repartition(max(1, min(found.count(), 4 * found.sparkSession.sparkContext.defaultParallelism))).mapInArrow(run, "value string")
+    found = stored(found, "pieces")
+    return found.repartition(max(1, min(found.count(), 4 * found.sparkSession.sparkContext.defaultParallelism))).mapInArrow(run, "value string, first long")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.sources import files
-from factloom.sources.nested import members
+from factloom.sources.nested import members, pieces
 from factloom.sources.storage import qualified
 
 
@@ -44,3 +44,20 @@ def test_one_file_of_many_years_is_read_by_several_tasks(spark, tmp_path):
     size = (tmp_path / "big.json").stat().st_size
     found = members(spark.createDataFrame([(qualified(spark, str(tmp_path / "big.json")), size)], "path string, bytes long"), 60_000).collect()
     assert len(found) == 300 and max(r["end"] - r["start"] for r in found) < size / 50
+
+
+def test_one_year_is_read_in_pieces(spark, tmp_path):
+    """However large a year or a month is, a task holds a range and a fact of it; a year that isn't ended is left out, as are members of other kinds."""
+    facts = [{"section": str(i), "text": '],"}{[' * (i % 50), "links": [], "relevant_links": None} for i in range(4000)]
+    raw = {"2001": {'M"ai': facts, "Juni": [], "Juli": facts[:3]}}
+    path = tmp_path / "year.json"
+    path.write_text(json.dumps(raw, indent=1))
+    file = spark.createDataFrame([(qualified(spark, str(path)), path.stat().st_size)], "path string, bytes long")
+    found = pieces(file, 20_000).collect()
+    assert len(found) > 30 and max(r["end"] - r["start"] for r in found) < 21_000
+    read = files.scan_facts(spark, str(path), 20_000)
+    assert got(read) == flat(raw)
+    assert read.select(F.spark_partition_id()).distinct().count() >= 8
+    odd = '{"1999": null, "2000": {"Mai": null, "Juni": {"a": [1, 2]}}, "2002": [[1, 2]], ' + json.dumps(raw)[1:-1] + ', "2003": {"Mai": [{"section": "cut off"}, {"section": '
+    (tmp_path / "odd.json").write_text(odd)
+    assert got(files.scan_facts(spark, str(tmp_path / "odd.json"), 20_000)) == flat(raw)
