@@ -113,6 +113,27 @@ def write_nested(nested: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(*folders).text(path)
 
 
+def write_years(facts: DataFrame, path: str) -> None:
+    """(year, month, item, fact columns) -> the nested export as nest_facts() and write_nested() make it, a file for each year, for years of any
+    size: a fact is a line, and who writes a year has its lines in order and one at a time. Facts are read twice."""
+    months = facts.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n")).withColumn("number", month_number(F.col("month")))
+    found = months.orderBy("year", "number", "month").collect()  # a row for each month
+    if any(r["year"] is None or r["month"] is None for r in found):
+        raise ValueError("a fact without year or month")
+    years = {y: i for i, y in enumerate(dict.fromkeys(r["year"] for r in found))}
+    ends = [(i == 0 or found[i - 1]["year"] != r["year"], i + 1 == len(found) or found[i + 1]["year"] != r["year"]) for i, r in enumerate(found)]
+    rows = [(r["year"], r["month"], r["n"], years[r["year"]], i, *ends[i]) for i, r in enumerate(found)]
+    months = facts.sparkSession.createDataFrame(rows, "year string, month string, n long, _file int, _month int, _opens boolean, _closes boolean")
+
+    place = F.row_number().over(W.partitionBy("year", "month").orderBy("item", "section", "text", "links", "relevant_links"))
+    placed = facts.select("year", "month", place.alias("_place"), F.to_json(F.struct("section", "text", "links", "relevant_links"), {"ignoreNullFields": "false"}).alias("_fact"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    before = F.when(F.col("_place") == 1, F.concat(F.when(F.col("_opens"), F.concat(F.lit("{"), quoted("year"), F.lit(":{"))).otherwise(""), quoted("month"), F.lit(":["))).otherwise("")
+    after = F.when(F.col("_place") < F.col("n"), ",").when(F.col("_closes"), "]}}").otherwise("],")
+    lines = placed.join(F.broadcast(months), ["year", "month"]).select("_file", "_month", "_place", F.concat(before, "_fact", after).alias("value"))
+    lines.repartitionById(max(1, len(years)), "_file").sortWithinPartitions("_file", "_month", "_place").select("value").write.mode("overwrite").text(path)
+
+
 def write_facts(facts: DataFrame, path: str) -> None:
     facts.write.mode("overwrite").partitionBy("lang", "year").parquet(path)
 

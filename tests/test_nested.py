@@ -61,3 +61,22 @@ def test_one_year_is_read_in_pieces(spark, tmp_path):
     odd = '{"1999": null, "2000": {"Mai": null, "Juni": {"a": [1, 2]}}, "2002": [[1, 2]], ' + json.dumps(raw)[1:-1] + ', "2003": {"Mai": [{"section": "cut off"}, {"section": '
     (tmp_path / "odd.json").write_text(odd)
     assert got(files.scan_facts(spark, str(tmp_path / "odd.json"), 20_000)) == flat(raw)
+
+
+def test_years_are_written_line_by_line(spark, tmp_path):
+    """The same export as from a row for each year, with a fact on a line and each year in one file."""
+    r = random.Random(7)
+    rows = [(y, m, i, f'{y} "{m}"\n{i}', None if i == 2 else "x" * r.randint(0, 9), ["l"] * (i % 3), None) for y in ("1999", "2000", 'o"d\n[d]') for m in ("Mai", "Januar", "März", "]") for i in r.sample(range(40), 12)]
+    rows += [("2001", "Mai", 0, "s", "t", [], [])]
+    facts = spark.createDataFrame(rows, "year string, month string, item int, section string, text string, links array<string>, relevant_links array<string>").repartition(7)
+    files.write_nested(files.nest_facts(facts), str(tmp_path / "rows"))
+    files.write_years(facts, str(tmp_path / "lines"))
+    read = lambda name: [p.read_text() for p in (tmp_path / name).glob("part-*") if p.stat().st_size]
+    want, lines = ({y: list(ms.items()) for text in texts for y, ms in json.loads(text).items()} for texts in (read("rows"), read("lines")))
+    assert lines == want and len(want) == 4
+    assert len(read("lines")) == 4 and max(len(x) for text in read("lines") for x in text.splitlines()) < 200
+    assert got(files.scan_facts(spark, str(tmp_path / "lines"), 50).fillna("")) == got(files.scan_facts(spark, str(tmp_path / "rows")).fillna(""))
+    with pytest.raises(ValueError, match="without year"):
+        files.write_years(facts.withColumn("month", F.lit(None).cast("string")), str(tmp_path / "none"))
+    files.write_years(facts.where("item < 0"), str(tmp_path / "empty"))
+    assert files.scan_facts(spark, str(tmp_path / "empty")).count() == 0
